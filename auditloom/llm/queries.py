@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import tokenize
+from auditloom.llm import secrets, tokenize
 from auditloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,18 @@ def query(f):
 @query
 def p6_ids(spark, d):
     return tokenize.encode(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def _secrets(spark, d):
+    return secrets.find(secrets.snippets(table(spark, d, "secret_findings"), table(spark, d, "vulnerability_findings")), "snippet")
+
+
+@query
+def p2_found(spark, d):
+    return _secrets(spark, d).where("size(secrets) > 0").select("table_name", "finding_id").distinct()
+
+
+@query
+def p2_redacted(spark, d):
+    """The same code with every credential hidden, one row per finding and text."""
+    return _secrets(spark, d).select("table_name", "finding_id", "redacted").distinct()
