@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import secrets, tokenize
+from auditloom.llm import secrets, syntax, tokenize
 from auditloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,21 @@ def p6_ids(spark, d):
     return tokenize.encode(table(spark, d, "documents").select("doc_id", "text"))
 
 
+@query
+def p1_found(spark, d):
+    return syntax.broken_files(table(spark, d, "source_files")).select("repo", "file_path")
+
+
+@query
+def p1_errors(spark, d):
+    return syntax.broken_files(table(spark, d, "source_files"))
+
+
+@query
+def p1_rates(spark, d):
+    return syntax.rates(table(spark, d, "source_files"), table(spark, d, "file_metrics"))
+
+
 def _secrets(spark, d):
     return secrets.find(secrets.snippets(table(spark, d, "secret_findings"), table(spark, d, "vulnerability_findings")), "snippet")
 
