@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import secrets, syntax, tokenize
+from auditloom.llm import names, secrets, syntax, tokenize
 from auditloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,13 @@ def p2_found(spark, d):
 def p2_redacted(spark, d):
     """The same code with every credential hidden, one row per finding and text."""
     return _secrets(spark, d).select("table_name", "finding_id", "redacted").distinct()
+
+
+@query
+def p3_found(spark, d):
+    return names.same(names.entities(table(spark, d, "commits"), "author"))
+
+
+@query
+def p3_entities(spark, d):
+    return names.entities(table(spark, d, "commits"), "author").select("spelling", "entity")
