@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import names, secrets, syntax, tokenize
+from auditloom.llm import leakage, names, secrets, syntax, tokenize
 from auditloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,3 +61,14 @@ def p3_found(spark, d):
 @query
 def p3_entities(spark, d):
     return names.entities(table(spark, d, "commits"), "author").select("spelling", "entity")
+
+
+@query
+def p7_found(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark")).select("doc_id", "item_id")
+
+
+@query
+def p7_held(spark, d):
+    """How many words of an item each leaking document holds."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
