@@ -34,7 +34,7 @@ SMALL = 200_000  # item shingles (16 bytes each) up to which they are broadcast;
 def plain(text: Column) -> Column:
     """Text without tags, entities and invisible characters, in lower case."""
     text = F.regexp_replace(text, r"<[/!]?[A-Za-z][^<>]{0,200}>|&(?:[A-Za-z]{2,8}|#\d{1,7});", " ")
-    return F.lower(F.regexp_replace(text, "[­​-‏⁠﻿]", ""))
+    return F.lower(F.regexp_replace(text, "[\u00ad\u200b-\u200f\u2060\ufeff]", ""))
 
 
 def words(text: Column) -> Column:

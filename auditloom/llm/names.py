@@ -267,8 +267,7 @@ def vectors(nodes: DataFrame) -> DataFrame:
     """(node, gram, count, weight): the unit vectors, weights falling with the number of keys that have the n-gram."""
     long = nodes.select("node", F.explode("grams").alias("gram"))
     counts = long.groupBy("gram").agg(F.count("*").alias("count"))
-    total = nodes.agg(F.count("*").alias("total"))
-    weighed = long.join(counts, "gram").crossJoin(F.broadcast(total)).select("node", "gram", "count", F.log1p(F.col("total") / F.col("count")).alias("w"))  # one row
+    weighed = long.join(counts, "gram").select("node", "gram", "count", F.log1p(nodes.count() / F.col("count")).alias("w"))
     return weighed.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("node")))).drop("w")
 
 
