@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import leakage, names, secrets, syntax, tokenize
+from auditloom.llm import leakage, names, residue, secrets, syntax, tokenize
 from auditloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,14 @@ def p7_found(spark, d):
 def p7_held(spark, d):
     """How many words of an item each leaking document holds."""
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query
+def p8_found(spark, d):
+    return residue.score(table(spark, d, "documents")).where("residue").select("doc_id").distinct()
+
+
+@query
+def p8_scores(spark, d):
+    """Of every document the log-odds of its likeliest passage and the decision."""
+    return residue.score(table(spark, d, "documents"))
