@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import leakage, names, residue, secrets, syntax, tokenize
+from auditloom.llm import leakage, names, origin, residue, secrets, syntax, tokenize
 from auditloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,19 @@ def p8_found(spark, d):
 def p8_scores(spark, d):
     """Of every document the log-odds of its likeliest passage and the decision."""
     return residue.score(table(spark, d, "documents"))
+
+
+def _findings(spark, d):
+    return [table(spark, d, t) for t in ("secret_findings", "vulnerability_findings", "performance_findings")]
+
+
+@query
+def p5_found(spark, d):
+    files = table(spark, d, "source_files")
+    return origin.origins(files).where("origin is not null").join(origin.led_to(files, *_findings(spark, d)), ["repo", "file_path"], "left_semi").select("repo", "file_path")
+
+
+@query
+def p5_origins(spark, d):
+    """Of every file with content, where it comes from; null for code written by hand."""
+    return origin.origins(table(spark, d, "source_files"))
