@@ -24,3 +24,12 @@ def cut(df: DataFrame) -> DataFrame:
     """`df`, computed once and kept in the shared folder, so that it survives the loss of executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan, dealt out over the cores where its files give fewer partitions than these; large inputs stay as they are.
+
+    For narrow passes that are dear per row. Not for plans with shuffles, which know their partitions only when they run.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
