@@ -136,15 +136,18 @@ LINES = SHORT.split("\n")
 FOLD = str.maketrans({"ø": "o", "Ø": "O", "æ": "ae", "Æ": "Ae", "œ": "oe", "ß": "ss", "ł": "l", "Ł": "L", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "’": "'"})
 
 
+def _once_more(m: re.Match) -> str:
+    for code in ("latin-1", "cp1252"):
+        try:
+            return m[0].encode(code).decode("utf-8")
+        except (UnicodeEncodeError, UnicodeDecodeError):
+            pass
+    return m[0]
+
+
 def restored(name: str) -> str:
-    """UTF-8 that was read as a one-byte code, read again."""
-    if re.search(r"[ÃÂÅÄÐ]", name):
-        for code in ("latin-1", "cp1252"):
-            try:
-                return name.encode(code).decode("utf-8")
-            except (UnicodeEncodeError, UnicodeDecodeError):
-                pass
-    return name
+    """UTF-8 that was read as a one-byte code, read again, sequence by sequence."""
+    return re.sub("[\u00c2-\u00f4][^\x00-\x7f]{1,3}", _once_more, name)
 
 
 def key(name: str | None) -> str | None:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.session import spread
+
 SAMPLE = 12_000
 BITS = 18
 ROUNDS = 8
@@ -146,4 +148,4 @@ def score(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
             odds, trusted, count = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(doc), pa.array(odds, pa.float64()), pa.array(trusted, pa.bool_()), pa.array(count, pa.int32()), pa.array([n > 0 for n in count], pa.bool_())], [doc, "odds", "trusted", "passages", "residue"])
 
-    return df.select(doc, text).mapInArrow(run, f"{doc} {df.schema[doc].dataType.simpleString()}, odds double, trusted boolean, passages int, residue boolean")
+    return spread(df.select(doc, text)).mapInArrow(run, f"{doc} {df.schema[doc].dataType.simpleString()}, odds double, trusted boolean, passages int, residue boolean")

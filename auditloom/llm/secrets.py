@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditloom.llm import trigrams
+from auditloom.session import spread
 
 CHUNK, OVERLAP = 20_000, 4_000
 HIDDEN = "REDACTED"
@@ -269,7 +270,7 @@ def find(df: DataFrame, text: str) -> DataFrame:
             shown = [None if t is None else hide(t, s) for t, s in zip(texts, spans)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind), pa.array(shown, pa.string())], [*kept, "secrets", "redacted"])
 
-    return df.select(*kept).mapInArrow(run, schema)
+    return spread(df.select(*kept)).mapInArrow(run, schema)
 
 
 def snippets(secret_findings: DataFrame, vulnerability_findings: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from auditloom.session import spread
+
 # Fixed value: the pre-tokenisation pattern that belongs to the 50k byte-level vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -172,4 +174,4 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str = f"{T
             flat = np.fromiter((i for x in lists for i in x), np.int32, int(offsets[-1]))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], [*kept, ids])
 
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return spread(df.select(*kept, text)).mapInArrow(run, schema)
