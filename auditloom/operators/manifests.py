@@ -17,6 +17,19 @@ from auditloom.functions.text import clean_version, line_array, strip
 
 NONE = "cast(array() as array<struct<name:string,version:string>>)"
 
+# How manifests write a dependency, its version, and the keys that are none.
+NPM_SECTIONS = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]
+COMPOSER_SECTIONS = ["require", "require-dev"]
+PIPFILE_KEYS = ["name", "requires", "packages"]
+PIP_LINE = r"^([a-zA-Z0-9_.-]+)\s*([><=!~]+.*)?$"
+PIPFILE_LINE = r"(?m)^(\w[\w.-]*)\s*=\s*[\"']([^\"'\n]+)[\"']"
+PYPROJECT_LINE = r"^[\"']([a-zA-Z0-9_.-]+)(.*)[\"']"
+PYPROJECT_VERSION = r"([><=!~]+\s*[\d.*]+)"
+MAVEN_BLOCK = r"<dependency>\s*<groupId>([^<]+)</groupId>\s*<artifactId>([^<]+)</artifactId>\s*(?:<version>([^<]+)</version>)?"
+GRADLE_WORDS = "implementation|api|compile|testImplementation"
+GEM_LINE = r"gem\s+['\"]([^'\"]+)['\"](?:,\s*['\"]([^'\"]+)['\"])?"
+NUGET_TAG = r"<PackageReference\s+Include=\"([^\"]+)\"(?:\s+Version=\"([^\"]+)\")?"
+
 
 def _dep(name: Column, version: Column) -> Column:
     return F.struct(name.alias("name"), version.alias("version"))
@@ -46,30 +59,30 @@ def _json_sections(text: Column, sections: list[str]) -> Column:
 
 
 def package_json(text: Column, strict: bool) -> Column:
-    return _json_sections(text, ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"])
+    return _json_sections(text, NPM_SECTIONS)
 
 
 def composer_json(text: Column, strict: bool) -> Column:
     php = (lambda n: n == "php") if strict else (lambda n: n.startswith("php"))
-    return F.filter(_json_sections(text, ["require", "require-dev"]), lambda d: ~php(d["name"]))
+    return F.filter(_json_sections(text, COMPOSER_SECTIONS), lambda d: ~php(d["name"]))
 
 
 def requirements(text: Column, strict: bool) -> Column:
     bare = F.filter(F.transform(line_array(text), strip), lambda l: ~l.rlike(r"^(?:#|-|$)"))
     name = r"^([a-zA-Z0-9_.-]+)" + (r"(?:\[[^\]]*\])?" if strict else "")
-    form = name + r"\s*([><=!~]+.*)?$" if not strict else name + r"\s*((?:[><=!~]=?|===)[^;#]*)?\s*(?:[;#].*)?$"
+    form = PIP_LINE if not strict else name + r"\s*((?:[><=!~]=?|===)[^;#]*)?\s*(?:[;#].*)?$"
     return _any_version(F.transform(F.filter(bare, lambda l: l.rlike(form)), lambda l: _dep(F.regexp_extract(l, form, 1), strip(F.regexp_extract(l, form, 2)))))
 
 
 def pipfile(text: Column, strict: bool) -> Column:
-    found = _pairs(text, r"(?m)^(\w[\w.-]*)\s*=\s*[\"']([^\"'\n]+)[\"']")
-    return F.transform(F.filter(found, lambda d: ~d["name"].isin("name", "requires", "packages")), lambda d: _dep(d["name"], clean_version(d["version"])))
+    found = _pairs(text, PIPFILE_LINE)
+    return F.transform(F.filter(found, lambda d: ~d["name"].isin(PIPFILE_KEYS)), lambda d: _dep(d["name"], clean_version(d["version"])))
 
 
 def pyproject(text: Column, strict: bool) -> Column:
     block = F.regexp_extract(text, r"(?ms)^[ \t]*dependencies = \[[ \t]*\r?$(.*?)(?:^[ \t]*\][ \t]*\r?$|\z)", 1)
-    found = _from_lines(F.transform(line_array(block), lambda l: F.regexp_replace(strip(l), ",+$", "")), r"^[\"']([a-zA-Z0-9_.-]+)(.*)[\"']")
-    return _any_version(F.transform(found, lambda d: _dep(d["name"], F.regexp_extract(d["version"], r"([><=!~]+\s*[\d.*]+)", 1))))
+    found = _from_lines(F.transform(line_array(block), lambda l: F.regexp_replace(strip(l), ",+$", "")), PYPROJECT_LINE)
+    return _any_version(F.transform(found, lambda d: _dep(d["name"], F.regexp_extract(d["version"], PYPROJECT_VERSION, 1))))
 
 
 def cargo(text: Column, strict: bool) -> Column:
@@ -81,15 +94,14 @@ def cargo(text: Column, strict: bool) -> Column:
 
 
 def pom(text: Column, strict: bool) -> Column:
-    form = r"<dependency>\s*<groupId>([^<]+)</groupId>\s*<artifactId>([^<]+)</artifactId>\s*(?:<version>([^<]+)</version>)?"
-    groups, artifacts, versions = (F.regexp_extract_all(text, F.lit(form), g) for g in (1, 2, 3))
+    groups, artifacts, versions = (F.regexp_extract_all(text, F.lit(MAVEN_BLOCK), g) for g in (1, 2, 3))
     rows = F.arrays_zip(groups.alias("g"), artifacts.alias("a"), versions.alias("v"))
     return _any_version(F.transform(rows, lambda z: _dep(F.concat(strip(z["g"]), F.lit(":"), strip(z["a"])), strip(z["v"]))))
 
 
 def gradle(text: Column, strict: bool) -> Column:
     gap = r"\s*\(?\s*" if strict else r"\s+"
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?:implementation|api|compile|testImplementation)" + gap + r"['\"]([^'\"]+)['\"]"), 1), lambda x: F.split(x, ":"))
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"(?:{GRADLE_WORDS})" + gap + r"['\"]([^'\"]+)['\"]"), 1), lambda x: F.split(x, ":"))
     whole = F.filter(found, lambda p: F.size(p) >= 2)
     return F.transform(whole, lambda p: _dep(F.concat(F.get(p, F.lit(0)), F.lit(":"), F.get(p, F.lit(1))), F.coalesce(F.get(p, F.lit(2)), F.lit("*"))))
 
@@ -102,7 +114,7 @@ def go_mod(text: Column, strict: bool) -> Column:
 
 
 def gemfile(text: Column, strict: bool) -> Column:
-    return _any_version(_pairs(text, r"gem\s+['\"]([^'\"]+)['\"](?:,\s*['\"]([^'\"]+)['\"])?"))
+    return _any_version(_pairs(text, GEM_LINE))
 
 
 def pubspec(text: Column, strict: bool) -> Column:
@@ -116,7 +128,7 @@ def pubspec(text: Column, strict: bool) -> Column:
 
 
 def csproj(text: Column, strict: bool) -> Column:
-    return _any_version(_pairs(text, r"<PackageReference\s+Include=\"([^\"]+)\"(?:\s+Version=\"([^\"]+)\")?"))
+    return _any_version(_pairs(text, NUGET_TAG))
 
 
 @dataclass(frozen=True)

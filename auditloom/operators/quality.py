@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 
 from auditloom.operators.lines import code_lines
 
-# The branching words of scripts, the limits of large code, and the points of debt.
+# The branching words and function heads of scripts, the limits of large code, and the points of debt.
 BRANCH = r"\b(?:if|else\s+if|elif|while|for|case|catch|&&|\|\||\?)\b"
 SCRIPTS = (".js", ".ts", ".jsx", ".tsx")
 SOURCES = ".py .js .ts .jsx .tsx .java .go .rs .cs .cpp .cc .h .rb .php .swift .kt .dart".split()
+FUNCTION = re.compile(r"function\s+(?P<a>\w+)|(?:const|let|var)\s+(?P<b>\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>|(?:async\s+)?function\s*\*?\s*\([^)]*\)")
 LARGE_FUNCTION, LARGE_CLASS, LARGE_FILE = 50, 200, 500
 MOST_BYTES = 100_000
 
 BRANCHES = (ast.If, ast.While, ast.For, ast.ExceptHandler, ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp, ast.Lambda, ast.comprehension)
-FUNCTION = re.compile(r"function\s+(?P<a>\w+)|(?:const|let|var)\s+(?P<b>\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>|(?:async\s+)?function\s*\*?\s*\([^)]*\)")
 
 
 def python_metrics(text: str) -> tuple[float, int, list[dict]]:
