@@ -2,8 +2,8 @@
 
 A record's passages are its sentences outside code blocks, code spans and quotations. Passages that match the fixed forms of
 `TRUSTED` are positive, all others unlabelled. Naive Bayes over hashed words, word pairs and shapes starts with the
-unlabelled as negative and is refined by expectation-maximization, in which the trusted stay positive. It is fitted on at
-most `SAMPLE` documents, drawn by a hash of their id, and scores every passage of every document. A record is residue if a
+unlabelled as negative and is refined by expectation-maximization, in which the trusted stay positive. It is fitted on
+about `SAMPLE` documents, drawn by a hash, and scores every passage of every document. A record is residue if a
 passage is: its log-odds reach `ODDS`, or `NEAR` if it is one of the trusted forms.
 
 Null, empty and blank texts are no residue. Texts are read whole. Repeated rows are judged each; ids may repeat.
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from auditloom.session import spread
 
 SAMPLE = 12_000
+PASSAGES = 60  # passages a sampled document, on average, that are collected at most
 BITS = 18
 ROUNDS = 8
 ODDS = 6.0
@@ -94,9 +95,8 @@ def features(passage: str) -> tuple[list[int], bool]:
     return [zlib.crc32(p.encode()) & ((1 << BITS) - 1) for p in parts], strong or bool(TRUSTED.search(passage))
 
 
-def fit(texts: list[str]) -> np.ndarray:
-    """The log-odds of every feature, the last entry that of the classes."""
-    rows = [features(p) for t in texts for p in passages(t)]
+def fit(rows: list[tuple[list[int], bool]]) -> np.ndarray:
+    """The log-odds of every feature of passages (features, trusted), the last entry that of the classes."""
     weights = np.zeros((1 << BITS) + 1)
     if not any(t for _, t in rows):
         weights[-1] = -1e9
@@ -120,11 +120,17 @@ def fit(texts: list[str]) -> np.ndarray:
 
 
 def learn(df: DataFrame, doc: str, text: str, sample: int = SAMPLE) -> np.ndarray:
-    """Fit on a sample of at most about `sample` documents, drawn by a hash of their id."""
+    """Fit on a sample of about `sample` documents, drawn by a hash of their id and text, at most PASSAGES passages for each."""
     given = df.where(F.length(F.trim(text)) > 0)
-    share = max(1, df.count())
-    drawn = given.where(F.pmod(F.xxhash64(doc), F.lit(share)) < sample).select(text).limit(sample + sample // 10)
-    return fit([r[0] for r in drawn.collect()])
+    drawn = given.where(F.pmod(F.xxhash64(doc, text), F.lit(max(1, df.count()))) < sample).select(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [features(p) for t in batch.column(text).to_pylist() for p in passages(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.list_(pa.int32())), pa.array([t for _, t in rows], pa.bool_())], ["features", "trusted"])
+
+    found = spread(drawn).mapInArrow(run, "features array<int>, trusted boolean").limit(sample * PASSAGES).toArrow()
+    return fit(list(zip(found.column("features").to_pylist(), found.column("trusted").to_pylist())))
 
 
 def score(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
