@@ -47,15 +47,16 @@ class Rule:
 RULES = (
     Rule("private_key", r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:\s|\\r|\\n|\\\\n|[\"'+,>]|&#10;|Proc-Type[^\\\n]*|DEK-Info[^\\\n]*)*(?P<v>[A-Za-z0-9+/=]{16,}(?:(?:\s|\\r|\\n|\\\\n)+[A-Za-z0-9+/=]{4,})*)", "any"),
     Rule("encoded_private_key", r"(?P<v>LS0tLS1CRUdJTi[A-Za-z0-9+/=]{24,})", "encoded_key"),
-    Rule("aws_access_key", r"(?<![A-Za-z0-9])(?P<v>(?:AKIA|ASIA)[A-Z0-9]{12,20})(?![A-Za-z0-9])", "token"),
-    Rule("github_token", r"(?<![A-Za-z0-9])(?P<v>(?:gh[pousr]_|github_pat_)[A-Za-z0-9_]{20,})", "token"),
-    Rule("sk_token", r"(?<![A-Za-z0-9])(?P<v>sk-(?:[a-z]{2,8}-)?[A-Za-z0-9_-]{20,})", "token"),
-    Rule("stripe_key", r"(?<![A-Za-z0-9])(?P<v>[sr]k_(?:live|test)_[A-Za-z0-9]{12,})", "token"),
-    Rule("chat_token", r"(?<![A-Za-z0-9])(?P<v>xox[abeprs]-[A-Za-z0-9-]{10,})", "token"),
-    Rule("lab_token", r"(?<![A-Za-z0-9])(?P<v>gl(?:b|pat|rt|ft|dt)-[A-Za-z0-9_-]{16,})", "token"),
-    Rule("google_key", r"(?<![A-Za-z0-9])(?P<v>AIza[A-Za-z0-9_-]{30,})", "token"),
-    Rule("mail_token", r"(?<![A-Za-z0-9])(?P<v>(?:SG|qlm)\.[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{4,})", "token"),
-    Rule("json_web_token", r"(?<![A-Za-z0-9])(?P<v>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{6,})?)", "token"),
+    Rule("aws_access_key", r"(?<![A-Za-z0-9])(?P<v>(?:AKIA|ASIA)[A-Z0-9]{12,20})(?![A-Za-z0-9])", "known"),
+    Rule("github_token", r"(?<![A-Za-z0-9])(?P<v>(?:gh[pousr]_|github_pat_)[A-Za-z0-9_]{20,})", "known"),
+    Rule("sk_token", r"(?<![A-Za-z0-9])(?P<v>sk-(?:[a-z]{2,8}-)?[A-Za-z0-9_-]{20,})", "known"),
+    Rule("stripe_key", r"(?<![A-Za-z0-9])(?P<v>[sr]k_(?:live|test)_[A-Za-z0-9]{12,})", "known"),
+    Rule("chat_token", r"(?<![A-Za-z0-9])(?P<v>xox[abeprs]-[A-Za-z0-9-]{10,})", "known"),
+    Rule("lab_token", r"(?<![A-Za-z0-9])(?P<v>gl(?:b|pat|rt|ft|dt)-[A-Za-z0-9_-]{16,})", "known"),
+    Rule("dashed_token", r"(?<![A-Za-z0-9-])(?P<v>[A-Z0-9]{8}-[A-Za-z0-9]{24})(?![A-Za-z0-9-])", "known"),
+    Rule("google_key", r"(?<![A-Za-z0-9])(?P<v>AIza[A-Za-z0-9_-]{30,})", "known"),
+    Rule("mail_token", r"(?<![A-Za-z0-9])(?P<v>(?:SG|qlm)\.[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{4,})", "known"),
+    Rule("json_web_token", r"(?<![A-Za-z0-9])(?P<v>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{6,})?)", "known"),
     Rule("account_key", r"(?i)AccountKey=(?P<v>[A-Za-z0-9+/=_-]{16,})", "token"),
     Rule("url_password", URLISH + r"[^\s\"'`/@:<>]{0,60}:(?P<v>[^\s\"'`@/<>{}]{3,80})@[\w.\[\]-]", "password"),
     Rule("url_parameter", r"(?i)[?&](?:[a-z_-]*key|[a-z_-]*token|sig|signature|secret|password|pwd|auth)=(?P<v>[^\s\"'`&#<>]{8,})", "token"),
@@ -67,11 +68,11 @@ RULES = (
     Rule("client_option", r"(?i)\b(?:mysql|mysqldump|mariadb|mongo|redis-cli|psql)\b[^\n\"'`]*?\s-(?:p|a\s)(?P<v>[^\s\"'`]{4,})", "password"),
     Rule("sshpass", r"(?i)sshpass\s+-p\s*\\?[\"']?(?P<v>[^\s\"'`\\]{4,})", "password"),
     Rule("identified_by", r"(?i)identified\s+(?:with\s+\w+\s+)?by\s+(?:password\s+)?\\?[\"'](?P<v>[^\"'\n\\]{4,})", "password"),
-    Rule("password_name", r"(?i)(?P<n>(?:" + PASSWORD + r")[\w-]{0,20})(?:\\?[\"'`]|\]|\s)*(?::\s*(?:str|string|String|&str)\s*)?(?:\s*(?::=|=>|=|:|,|\()\s*|\s+is\s+|\s+)(?:\(\s*)?(?:new\s+\w+\(|String\.valueOf\(|b|r|u|f)?\\?(?P<q>[\"'`])(?P<v>[^\"'`\n]{3,120})", "quoted_password"),
+    Rule("password_name", r"(?i)(?P<n>(?:" + PASSWORD + r")[\w-]{0,20})(?:\\?[\"'`]|\]|[ \t])*(?::\s*(?:str|string|String|&str)\s*)?(?:[ \t]*(?::=|=>|=|:|,|\()(?:[ \t]*|\s*(?=[\"'`(]))|[ \t]+is[ \t]+|[ \t]+)(?:\(\s*)?(?:new\s+\w+\(|String\.valueOf\(|b|r|u|f)?\\?(?P<q>[\"'`])(?P<v>[^\"'`\n]{3,120})", "quoted_password"),
     Rule("password_plain", r"(?i)(?P<n>(?:" + PASSWORD + r")[\w-]{0,20})[ \t]*(?:=|:|\bis\b)[ \t]*(?P<v>[^\s\"'`,;(){}\[\]<>]{4,120})", "plain_password"),
     Rule("password_element", r"(?i)(?:name|key)\s*[=:]\s*[\"']?[\w.-]{0,40}(?:" + PASSWORD + r")[\w.-]{0,20}[\"']?\s*(?:>|/?>?\s*\n?\s*,?\s*[\"']?value[\"']?\s*[=:]\s*[\"']?)(?P<v>[^\"'<\n]{4,120})", "quoted_password"),
     Rule("password_tag", r"(?i)(?<!:)<(?:[\w.-]{0,30}(?:" + PASSWORD + r")[\w.-]{0,20})>(?P<v>[^<\n]{4,120})", "quoted_password"),
-    Rule("key_name", r"(?i)(?P<n>(?:" + KEYLIKE + r"|key)[\w-]{0,20})(?:\\?[\"'`]|\]|\s)*(?::\s*(?:str|string|String|&str)\s*)?(?:\s*(?::=|=>|=|:|,|\()\s*|\s+is\s+|\s+)(?:\(\s*)?(?:\\?[\"'`])?(?P<v>[A-Za-z0-9+/=_.~!$%^*-]{12,400})", "named_token"),
+    Rule("key_name", r"(?i)(?P<n>(?:" + KEYLIKE + r"|key)[\w-]{0,20})(?:\\?[\"'`]|\]|[ \t])*(?::\s*(?:str|string|String|&str)\s*)?(?:[ \t]*(?::=|=>|=|:|,|\()(?:[ \t]*|\s*(?=[\"'`(]))|[ \t]+is[ \t]+|[ \t]+)(?:\(\s*)?(?:\\?[\"'`])?(?P<v>[A-Za-z0-9+/=_.~!$%^*-]{12,400})", "named_token"),
     Rule("key_element", r"(?i)(?:name|key)\s*[=:]\s*[\"']?(?P<n>[\w.-]{0,40}(?:" + KEYLIKE + r"|key)[\w.-]{0,20})[\"']?\s*(?:>|/?>?\s*\n?\s*,?\s*[\"']?value[\"']?\s*[=:]\s*[\"']?)(?P<v>[A-Za-z0-9+/=_.~-]{12,400})", "named_token"),
     Rule("key_tag", r"(?i)<(?P<n>[\w.-]{0,30}(?:" + KEYLIKE + r"|key)[\w.-]{0,20})>(?P<v>[A-Za-z0-9+/=_.~-]{12,400})", "named_token"),
     Rule("positional", r"(?i)(?:(?:login|sign|auth\w*|connect|authenticate|with\w*|set\w*|token|client|credentials?|verify|encrypt|decrypt|hmac\w*|return|yield)\s*\(?|\[)\s*(?:[\"'`][\w.@-]{0,30}[\"'`]\s*,\s*)?[\"'`](?P<v>[A-Za-z0-9+/=_-]{16,200})[\"'`]", "free_token"),
@@ -86,7 +87,7 @@ PLACEHOLDER = re.compile(
     r"(?i)^(?:x{3,}|\*+|•+|\.{3,}|_+|-+|0+|#+|change[-_ ]?(?:me|it|this)?|replace[-_ ]?(?:me|this|it)?|todo|tbd|fixme|none|null|nil|undefined|true|false|empty|unset|n/?a|dummy|example|sample|test(?:ing)?|secret|password|passwd|pass|pwd|token|key|hidden|masked|redacted|your[-_ ].*|my[-_ ].*|insert[-_ ].*|enter[-_ ].*|some[-_ ].*|put[-_ ].*|example[-_].*|placeholder.*|dummy[-_].*|fake[-_].*|default|optional|required|foo|bar|baz|string|str|value|prompt|input|xxx.*)[.!?]?$"
 )
 REFERENCE = re.compile(
-    r"(?i)^(?:\$[a-z_{(]|%\(|%[a-z_]+%|\{|<|\[|\(|!(?:ref|sub|getatt|vault|secret|env)|#\{|arn:|vault:|ssm:|secret:|env[:.(]|env$|ref[:+]|file:|op://|keyring|kms:|sops:|enc\[|process\.env|os\.|system\.|config[.\[(]|cfg[.\[(]|settings[.\[(]|self\.|this\.|props\.|kwargs|args\.|req\.|request\.|opts\.|options\.|params\.|ctx\.|vault\.|getpass|prompt|input|read_?line|load_?|get_?|fetch_?\w*\(|generate|lookup|secretkeyref|valuefrom)"
+    r"(?i)^(?:\$[a-z_{(]|%\(|%[A-Za-z_]{3,40}%$|\{|<|\[|\(|!(?:ref|sub|getatt|vault|secret|env)|#\{|arn:|vault:|ssm:|secret:|env[:.(]|env$|ref[:+]|file:|op://|keyring|kms:|sops:|enc\[|process\.env|os\.|system\.|config[.\[(]|cfg[.\[(]|settings[.\[(]|self\.|this\.|props\.|kwargs|args\.|req\.|request\.|opts\.|options\.|params\.|ctx\.|vault\.|getpass|prompt|input|read_?line|load_?|get_?|fetch_?\w*\(|generate|lookup|secretkeyref|valuefrom)"
 )
 UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 HEX = re.compile(r"^(?:0x)?[0-9a-fA-F]+$")
@@ -100,7 +101,7 @@ def entropy(s: str) -> float:
 
 def _masked(v: str) -> bool:
     body = v.strip("\"'`<>[](){}")
-    return not body or bool(PLACEHOLDER.match(body)) or len(set(body)) <= 2 or v[0] in "<[({" and v[-1] in ">])}" or "***" in v or "•" in v or "xxxx" in v.lower() or "..." in v
+    return not body or bool(PLACEHOLDER.match(body)) or len(set(body)) <= 2 or v[0] in "<[({" and v[-1] in ">])}" or "***" in v or "•" in v or "xxxx" in v.lower() or "..." in v or "EXAMPLE" in v
 
 
 def _random(v: str, least: int) -> bool:
@@ -152,6 +153,8 @@ def grants(kind: str, m: re.Match) -> bool:
         return "PRIVATE" in _decoded(v[: len(v) // 4 * 4][:80])
     if MEDIA.search(_before(text, m.start("v"))):
         return False
+    if kind == "known":  # the form says what it is
+        return not _masked(v) and entropy(v) > 2.5
     if kind == "basic":
         inner = _decoded(v)
         return ":" in inner and _password(inner.split(":", 1)[1], True)
@@ -175,8 +178,10 @@ def grants(kind: str, m: re.Match) -> bool:
         if re.fullmatch(r"(?i)key", name.rsplit(".", 1)[-1]) and (UUID.match(v) or len(v) < 16):
             return False
         return _random(v, 12)
-    if UUID.match(v) or HEX.match(v) or REFERENCE.match(v):
+    if UUID.match(v) or REFERENCE.match(v):
         return False
+    if HEX.match(v):  # a bare value where a call, a list or a result takes its key; longer ones are digests
+        return len(v) in (32, 40) and _random(v, 16)
     return len(v) >= 16 and _random(v, 16) and _shuffled(v) and any(c.isdigit() for c in v)
 
 
