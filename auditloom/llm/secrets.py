@@ -228,7 +228,13 @@ class Scanner:
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Of each text the (start, end, rule) of every credential, in the text as it is written."""
-        parts = [(row, offset, *joined(chunk)) for row, text in enumerate(texts) for offset, chunk in chunks(text)]
+        parts: list[tuple[int, int, str, list[int] | None]] = []
+        for row, text in enumerate(texts):
+            for offset, chunk in chunks(text):
+                parts.append((row, offset, chunk, None))
+                whole, places = joined(chunk)
+                if places is not None:  # what looks like pieces may be two values, so both readings count
+                    parts.append((row, offset, whole, places))
         index = trigrams.Index([p[2] for p in parts])
         found: list[set[tuple[int, int, str]]] = [set() for _ in texts]
         for rule, regex, condition in self.rules:
