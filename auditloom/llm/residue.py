@@ -4,7 +4,8 @@ A record's passages are its sentences outside code blocks, code spans and quotat
 `TRUSTED` are positive, all others unlabelled. Naive Bayes over hashed words, word pairs and shapes starts with the
 unlabelled as negative and is refined by expectation-maximization, in which the trusted stay positive. It is fitted on
 about `SAMPLE` documents, drawn by a hash, and scores every passage of every document. A record is residue if a
-passage is: its log-odds reach `ODDS`, or `NEAR` if it is one of the trusted forms.
+passage is: its log-odds reach `ODDS`, or, in one of the trusted forms, its
+features do not speak against it by more than `NEAR`.
 
 Null, empty and blank texts are no residue. Texts are read whole. Repeated rows are judged each; ids may repeat.
 """
@@ -27,7 +28,7 @@ PASSAGES = 60  # passages a sampled document, on average, that are collected at
 BITS = 18
 ROUNDS = 8
 ODDS = 6.0
-NEAR = -2.0
+NEAR = -4.0
 SMOOTH = 0.02  # weight of a feature's overall share, as a part of the trusted passages
 RARE = 3  # passages below which a feature says nothing
 
@@ -144,7 +145,7 @@ def score(df: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
             return None, None, 0
         weights = model.value
         odds = [(float(weights[f].sum() + weights[-1]), t) for f, t in found]
-        residue = [o for o, t in odds if o >= (NEAR if t else ODDS)]
+        residue = [o for o, t in odds if (o - float(weights[-1]) >= NEAR if t else o >= ODDS)]
         best = max(odds)
         return best[0], best[1], len(residue)
 
