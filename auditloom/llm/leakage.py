@@ -86,12 +86,15 @@ def _local(a: list[str], b: list[str]) -> tuple[int, int, int, int]:
 def passages(item: list[str], document: list[str], seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """(first word, end, words matched) in the item of each passage that the document holds; `seeds` are (item, document) places."""
     chains: list[list[tuple[int, int]]] = []
+    open_: list[list[tuple[int, int]]] = []
     for i, j in sorted(set(seeds), key=lambda s: (s[1], s[0])):
-        near = [c for c in chains[-24:] if 0 <= j - c[-1][1] <= 2 * DRIFT and 0 <= i - c[-1][0] <= 2 * DRIFT and abs((j - c[-1][1]) - (i - c[-1][0])) <= 3 and (i, j) != c[-1]]
+        open_ = [c for c in open_ if j - c[-1][1] <= 2 * DRIFT]
+        near = [c for c in open_ if 0 <= i - c[-1][0] <= 2 * DRIFT and abs((j - c[-1][1]) - (i - c[-1][0])) <= 3]
         if near:
             max(near, key=len).append((i, j))
         else:
             chains.append([(i, j)])
+            open_.append(chains[-1])
     found = []
     for c in chains:
         if len(c) < SHARED:
@@ -105,7 +108,10 @@ def passages(item: list[str], document: list[str], seeds: list[tuple[int, int]])
 
 def held(spans: list[tuple[int, int, int]]) -> int:
     """The words of the item that its best one or two passages hold."""
-    spans = sorted(spans, key=lambda s: s[0] - s[1])[:40]
+    longest: dict[int, int] = {}  # of each first word the farthest end, which holds all that nearer ends hold
+    for s, e, _ in spans:
+        longest[s] = max(e, longest.get(s, 0))
+    spans = [(s, e, 0) for s, e in longest.items()]
     best = max((e - s for s, e, _ in spans), default=0)
     for n, (s, e, _) in enumerate(spans):
         for t, f, _ in spans[n + 1 :]:
