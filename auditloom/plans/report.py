@@ -165,3 +165,31 @@ def render(row: Row, advice: list[Row], layers: list[str] = (), frameworks: list
         said = [a.title for a in sorted(advice, key=lambda a: a["rank"]) if a.level == level]
         out += ["", f"## {level.capitalize()}", "", *(f"- {t}" for t in said)] if said else []
     return "\n".join([*out, "", "```mermaid", diagram(list(layers), list(frameworks)), "```", ""])
+
+
+def summaries(row: Row) -> dict[str, str]:
+    """One sentence on each part of an audited repository."""
+    return {
+        "architecture": f"{row.languages} language(s), mainly {row.language}; {row.frameworks} framework(s); a {row.project_type} in {row.layers} top-level directories.",
+        "security": f"{row.secrets} secret(s), {row.sensitive} sensitive file(s), {row.certificates} certificate(s); {row.critical} critical, {row.high} high and {row.medium} medium findings.",
+        "quality": f"{row.total_loc} lines of code; complexity {row.complexity}, maintainability {row.maintainability}, {row.duplication} percent duplicated; {row.large_units} large unit(s), {row.unused} unused import(s), {row.debt_hours} hours of debt.",
+        "performance": f"{row.slow} finding(s), {row.n_plus_one} of them queries in loops; {row.large_files} large file(s).",
+        "dependencies": f"{row.dependencies} dependencies, {row.outdated} unpinned.",
+        "history": f"{row.large_commits} large commit(s), {row.with_secret} with secrets, {row.abandoned} abandoned branch(es).",
+    }
+
+
+# How a project of each manager is set up.
+SETUP = {"npm": "npm install", "pip": "pip install -r requirements.txt", "pipenv": "pipenv install", "pyproject": "pip install .", "cargo": "cargo build", "maven": "mvn install", "gradle": "gradle build", "go": "go mod download", "bundler": "bundle install", "composer": "composer install", "pub": "dart pub get", "nuget": "dotnet restore"}
+
+
+def readme(row: Row, layers: list[str], frameworks: list[str], managers: list[str]) -> str:
+    """A first README of a repository: what it is, how it is set up, how it is laid out."""
+    out = [f"# {row.repo}", "", f"A {row.project_type} in {row.language}" + (f" with {', '.join(frameworks)}." if frameworks else "."), "", "## Setup", "", "```", *(SETUP[m] for m in managers if m in SETUP), "```", "", "## Layout", "", *(f"- {x}" for x in layers), "", "## Size", "", f"{row.total_loc} lines of code, {row.dependencies} dependencies."]
+    return "\n".join(out) + "\n"
+
+
+def guide(row: Row, layers: list[str], managers: list[str]) -> str:
+    """What someone new to a repository does first."""
+    steps = ["Clone the repository.", *(f"Run `{SETUP[m]}`." for m in managers if m in SETUP), *(f"Read {x}." for x in layers[:3]), "Ask for credentials; none belong in the sources." if row.secrets or row.sensitive else "Run the tests."]
+    return "\n".join(["# First steps", "", *(f"{i}. {s}" for i, s in enumerate(steps, 1))]) + "\n"

@@ -159,3 +159,18 @@ def test_scores(corpus):
 def test_write(corpus, spark, tmp_path):
     report.write(report.audit(corpus(CLEAN)), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_command(spark, tmp_path):
+    from auditloom.__main__ import run
+
+    source = tmp_path / "project"
+    for path, content in {**VULNERABLE, "requirements.txt": "flask==1\n", "api/x.py": "import flask\n"}.items():
+        (source / path).parent.mkdir(parents=True, exist_ok=True)
+        (source / path).write_text(content)
+    whole = run(spark, str(source), str(tmp_path / "out"))
+    assert whole["critical"] == 2 and whole["frameworks_found"] == ["Flask"] and whole["directories"] == ["api"]
+    assert "pip install -r requirements.txt" in (tmp_path / "out" / "README.md").read_text()
+    assert "2 of them" not in whole["summaries"]["performance"]
+    with pytest.raises(ValueError):
+        run(spark, str(source), str(source / "out"))
