@@ -91,8 +91,8 @@ def _findings(spark, d):
 
 @query
 def p5_found(spark, d):
-    files = table(spark, d, "source_files")
-    return origin.origins(files).where("origin is not null").join(origin.led_to(files, *_findings(spark, d)), ["repo", "file_path"], "left_semi").select("repo", "file_path")
+    other = origin.origins(table(spark, d, "source_files")).where("origin is not null")
+    return origin.led_to(other.select("repo", "file_path"), *_findings(spark, d))
 
 
 @query
