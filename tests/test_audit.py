@@ -52,7 +52,7 @@ def test_nulls_empties_repeats(spark, corpus):
     files = corpus({"a.py": None, "b.py": "", "c.py": "\n", "d.py": "x\r\ny\x0bz w\n"})
     twice = files.unionByName(files).withColumn("line", F.lit("clash")).withColumn("rule", F.lit(1))
     assert rows(lines.lines(files), "path", "line_no", "line") == [("c.py", 1, ""), ("d.py", 1, "x"), ("d.py", 2, "y"), ("d.py", 3, "z"), ("d.py", 4, "w")]
-    assert rows(scan.secrets(twice)) == [] and rows(scan.quick_scan(twice) if False else scan.vulnerabilities(twice)) == []
+    assert rows(scan.secrets(twice)) == [] and rows(scan.vulnerabilities(twice)) == []
     assert rows(lines.loc_per_file(files), "path", "loc") == [("a.py", 0), ("b.py", 0), ("c.py", 0), ("d.py", 4)]
     repeated = corpus(LEAKED)
     assert scan.secrets(repeated.unionByName(repeated)).count() == 3
