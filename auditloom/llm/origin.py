@@ -1,15 +1,17 @@
 """Where code comes from: written by hand, generated, minified, copied from a package, or data stored as code.
 
-Every file becomes a set of shingles of five tokens, with identifiers, numbers and strings masked. Files with equal sketches
-are one class; classes that fall into one bucket of a MinHash band are compared with the bucket's least class and linked at
-a similarity of 0.8 or more; linked classes are one family. What is known of some members decides about the others:
+Every file becomes a set of shingles of five tokens, with identifiers, numbers and strings masked. Files with equal sets
+are one class; classes that fall into one bucket of a MinHash band are compared with each other and linked at a similarity
+of 0.8 or more; linked classes are one family. What is known of some members decides about the others:
 
 - generated: a generator's mark in the head, or a family in which such marks and names prevail, or endless repetition;
 - vendored: a place or a licence head of a package, or one text in several repositories;
 - data: literals prevail; minified: short names and hardly any space.
 
-Sets of up to `SKETCH` shingles, which those of generated files are, are compared exactly, larger ones by their `SKETCH`
-least hashes. A bucket is compared along its star, not pair by pair, so that a group of any size costs its size.
+Similarity is that of the whole sets, each shingle by 48 bits of its hash. Within a bucket only pairs that are linked already,
+directly or through others, and pairs of sizes that rule 0.8 out are left uncompared, as neither can change a family. Buckets
+of more than `BLOCK` classes are compared block by block, so that a task holds two blocks. What no bucket brings together
+(a pair at 0.8 with a chance of one in seventy) is not compared.
 
 Null contents and empty files are written by hand for want of evidence. Files are read whole. Repeated rows do no harm.
 """
@@ -30,7 +32,8 @@ from auditloom.session import cut, spread
 
 SHINGLE = 5
 SIMILAR = 0.8
-SKETCH = 64
+WIDTH = 6  # bytes a shingle
+BLOCK = 2048  # classes of a bucket that are held at once, twice
 BANDS, ROWS = 8, 4
 PREVAIL = 0.3  # share of a family with marks from which all of it is generated
 VARIED = 0.25  # distinct shingles a token, above which no file of a family counts as generated by it
@@ -83,7 +86,7 @@ class _Mask(dict):
 
 
 def measure(text: str, path: str, mask: _Mask) -> tuple:
-    """(direct kind, marked, varied, endless, class, sketch, bands) of a file."""
+    """(direct kind, marked, varied, endless, class, set, bands) of a file."""
     head = "\n".join(m[0] for m in HEAD.finditer(text[:1500]))[:1500]
     generated, marked = bool(GENERATED.search(head)), bool(NAMES.search(path))
     direct = "generated" if generated else "vendored" if PLACES.search(path) or LICENCES.search(head) else None
@@ -100,16 +103,16 @@ def measure(text: str, path: str, mask: _Mask) -> tuple:
         elif n >= 50 and names and sum(names) / len(names) < 3 and sum(map(body.count, " \t\n")) / len(body) < 0.08:
             direct = "minified"
     if n < SHINGLE:
-        return direct, marked or generated, True, False, None, [], []
+        return direct, marked or generated, True, False, None, b"", []
     with np.errstate(over="ignore"):
         rolled = sum((codes[i : n - SHINGLE + 1 + i] * POWERS[i] for i in range(SHINGLE)), np.zeros(n - SHINGLE + 1, np.uint64))
         distinct = np.unique((rolled ^ (rolled >> np.uint64(29))) * MIX >> np.uint64(1))  # below 2^63, so the JVM sorts them alike
         least = (distinct[:, None] * FACTORS[None, :] >> np.uint64(11)).min(axis=0).reshape(BANDS, ROWS)
         bands = (least * FACTORS[:ROWS]).sum(axis=1) ^ (np.arange(BANDS, dtype=np.uint64) * MIX)
-    sketch = distinct[:SKETCH].view(np.int64)
+    packed = np.ascontiguousarray((distinct >> np.uint64(15)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
     share = len(distinct) / n
-    label = zlib.crc32(sketch.tobytes()) << 31 | zlib.adler32(sketch.tobytes() + str(len(distinct)).encode()) & 0x7FFFFFFF
-    return direct, marked or generated, share > VARIED, n >= LONG and len(distinct) <= FEW and share < ENDLESS, label, sketch.tolist(), bands.view(np.int64).tolist()
+    label = zlib.crc32(packed) << 31 | zlib.adler32(packed + str(len(distinct)).encode()) & 0x7FFFFFFF
+    return direct, marked or generated, share > VARIED, n >= LONG and len(distinct) <= FEW and share < ENDLESS, label, packed, bands.view(np.int64).tolist()
 
 
 def same_path(path: Column) -> Column:
@@ -123,9 +126,9 @@ def same_path(path: Column) -> Column:
 
 
 def measured(source_files: DataFrame) -> DataFrame:
-    """(repo, file_path, text, direct, marked, varied, endless, class, sketch, bands): one Arrow pass over the files."""
-    schema = "repo string, file_path string, text long, direct string, marked boolean, varied boolean, endless boolean, class long, sketch array<long>, bands array<long>"
-    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    """(repo, file_path, text, direct, marked, varied, endless, class, set, bands): one Arrow pass over the files."""
+    schema = "repo string, file_path string, text long, direct string, marked boolean, varied boolean, endless boolean, class long, set binary, bands array<long>"
+    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,30 +143,76 @@ def measured(source_files: DataFrame) -> DataFrame:
     return spread(source_files.where("content is not null").select("repo", "file_path", "content")).mapInArrow(run, schema)
 
 
-def families(classes: DataFrame) -> DataFrame:
+def _bits(sets: list[bytes]) -> np.ndarray:
+    """A row of bits for each set, a column for each shingle of two sets or more."""
+    raw = np.frombuffer(b"".join(sets), np.uint8).reshape(-1, WIDTH)
+    values = np.zeros((len(raw), 8), np.uint8)
+    values[:, :WIDTH] = raw
+    _, codes, counts = np.unique(values.view("<u8").ravel(), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    columns = np.where(shared, np.cumsum(shared) - 1, -1)[codes]
+    width = -(-max(1, int(shared.sum())) // 64) * 64
+    ends = np.cumsum([len(s) // WIDTH for s in sets])
+    out = np.zeros((len(sets), width // 64), np.uint64)
+    for first in range(0, len(sets), 256):
+        last = min(first + 256, len(sets))
+        flat = np.zeros((last - first, width), bool)
+        for row in range(first, last):
+            own = columns[ends[row - 1] if row else 0 : ends[row]]
+            flat[row - first, own[own >= 0]] = True
+        out[first:last] = np.packbits(flat, axis=1).view(np.uint64)
+    return out
+
+
+def _links(table: pa.Table) -> pa.Table:
+    """(a, b): links of a bucket's block with itself or another, as many as join all that is alike."""
+    ids = table.column("class").to_numpy()
+    block, one, two = (table.column(c).to_numpy() for c in ("block", "one", "two"))
+    sets = table.column("set").to_pylist()
+    bits, sizes = _bits(sets), np.array([len(s) // WIDTH for s in sets])
+    label = np.arange(len(ids))
+    found: list[tuple[int, int]] = []
+    across = one[0] != two[0]
+    for x in np.flatnonzero(block == one[0]):
+        open_ = (label != label[x]) & (np.minimum(sizes, sizes[x]) >= SIMILAR * np.maximum(sizes, sizes[x]))
+        if across:
+            open_ &= block == two[0]
+        else:
+            open_[:x] = False
+        others = np.flatnonzero(open_)
+        if not len(others):
+            continue
+        common = np.bitwise_count(bits[others] & bits[x]).sum(axis=1, dtype=np.int64)
+        alike = others[common / (sizes[others] + sizes[x] - common) >= SIMILAR]
+        if len(alike):
+            labels, at = np.unique(label[alike], return_index=True)
+            found += [(int(ids[x]), int(ids[y])) for y in alike[at]]
+            label[np.isin(label, labels)] = label[x]
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def families(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     """(class, family) of every class that is linked to another."""
-    banded = classes.select("class", F.explode("bands").alias("band"))
-    stars = banded.groupBy("band").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = banded.join(stars, "band").where("class <> least").select("class", "least").distinct()
-    sketch = classes.select("class", "sketch")
-    both = pairs.join(sketch, "class").join(sketch.select(F.col("class").alias("least"), F.col("sketch").alias("other")), "least")
-    alike = F.least(F.size("sketch"), F.size("other")) >= SIMILAR * F.greatest(F.size("sketch"), F.size("other"))  # exact sets of other sizes cannot be
-    whole = both.where(alike).withColumns({"common": F.array_intersect("sketch", "other"), "union": F.array_union("sketch", "other")})
-    least = F.slice(F.sort_array("union"), 1, SKETCH)
-    kept = F.when(F.greatest(F.size("sketch"), F.size("other")) < SKETCH, F.size("common") / F.size("union")).otherwise(F.size(F.array_intersect("common", least)) / F.size(least))
-    linked = whole.where(kept >= SIMILAR).select(F.col("class").alias("a"), F.col("least").alias("b"))
+    banded = classes.select("class", F.explode("bands").alias("band")).distinct()
+    full = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    pair = lambda i: F.struct(F.col("band"), F.col("block"), F.least("block", i).alias("one"), F.greatest("block", i).alias("two"))
+    places = banded.join(full, "band").withColumn("block", own).select("class", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("p"))
+    kept = places.groupBy("class").agg(F.collect_list("p").alias("places"))
+    members = classes.select("class", "set").join(kept, "class").select("class", "set", F.inline("places"))
+    linked = members.groupBy("band", "one", "two").applyInArrow(_links, "a long, b long").distinct()
     return components(linked).select(F.col("node").alias("class"), F.col("component").alias("family"))
 
 
 def origins(source_files: DataFrame) -> DataFrame:
     """(repo, file_path, origin): each file once; origin is generated, vendored, data, minified or null (by hand)."""
     files = cut(measured(source_files))
-    classes = files.where("class is not null").groupBy("class").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.count("*").alias("files"), F.count_if("marked").alias("marked"))
+    classes = files.where("class is not null").groupBy("class").agg(F.first("set").alias("set"), F.first("bands").alias("bands"), F.count("*").alias("files"), F.count_if("marked").alias("marked"))
     found = families(classes)
     sizes = classes.select("class", "files", "marked").join(found, "class", "left").withColumn("family", F.coalesce("family", "class"))
     made = sizes.groupBy("family").agg((F.sum("marked") / F.sum("files")).alias("share"), F.sum("files").alias("n")).where((F.col("share") >= PREVAIL) & (F.col("n") > 1)).select("family")
     generated = sizes.join(made, "family", "left_semi").select("class", F.lit(True).alias("made"))
-    copied = files.where("class is not null").groupBy("text").agg(F.size(F.collect_set(F.when(F.col("direct").isNull(), F.col("repo")))).alias("repos"), F.min(F.size("sketch")).alias("size")).where((F.col("repos") >= COPIES) & (F.col("size") >= 20)).select("text", F.lit(True).alias("copied"))
+    copied = files.where("class is not null").groupBy("text").agg(F.size(F.collect_set(F.when(F.col("direct").isNull(), F.col("repo")))).alias("repos"), F.min(F.length("set")).alias("size")).where((F.col("repos") >= COPIES) & (F.col("size") >= 20 * WIDTH)).select("text", F.lit(True).alias("copied"))
     judged = files.select("repo", "file_path", "text", "direct", "varied", "endless", "class").join(generated, "class", "left").join(copied, "text", "left")
     origin = F.coalesce("direct", F.when(F.col("endless") | F.col("made") & ~F.col("varied"), "generated"), F.when(F.col("copied"), "vendored"))
     return judged.select("repo", "file_path", origin.alias("origin")).dropDuplicates(["repo", "file_path"])

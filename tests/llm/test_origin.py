@@ -83,3 +83,36 @@ def test_components(spark):
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == root
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def sets_of(spark, sets, bands):
+    packed = [b"".join(x.to_bytes(origin.WIDTH, "little") for x in sorted(s)) for s in sets]
+    return spark.createDataFrame([(i, bytearray(p), b) for i, (p, b) in enumerate(zip(packed, bands))], "class long, set binary, bands array<long>")
+
+
+def joined(sets, bands):
+    """The families by comparing every pair that shares a bucket."""
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if set(bands[i]) & set(bands[j]) and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return {i: r for i, r in enumerate(root) if root.count(r) > 1}
+
+
+def test_all_pairs_of_a_bucket(spark):
+    low, high = set(range(100)), set(range(50, 150))
+    sets = [low, high | {999}, high | {998}]  # the last two are alike, and unlike the least class
+    found = origin.families(sets_of(spark, sets, [[7]] * 3)).collect()
+    assert {r["class"]: r.family for r in found} == {1: 1, 2: 1}
+    rng = random.Random(11)
+    sets, bands = [], []
+    for _ in range(60):
+        base = set(rng.sample(range(400), 90))
+        for _ in range(rng.randint(1, 4)):
+            sets.append((base - set(rng.sample(sorted(base), rng.randint(0, 14)))) | set(rng.sample(range(400, 500), rng.randint(0, 9))))
+            bands.append([rng.randrange(3), 10 + rng.randrange(2)])
+    for block in (2048, 7):
+        found = origin.families(sets_of(spark, sets, bands), block).collect()
+        assert {r["class"]: r.family for r in found} == joined(sets, bands)
