@@ -116,3 +116,14 @@ def test_all_pairs_of_a_bucket(spark):
     for block in (2048, 7):
         found = origin.families(sets_of(spark, sets, bands), block).collect()
         assert {r["class"]: r.family for r in found} == joined(sets, bands)
+
+
+def test_similarity_is_exact(spark):
+    rng = random.Random(4)
+    sets, bands = [], []
+    for i in range(80):  # 250 shingles, pairs at 0.8 exactly or one shingle below
+        both = set(rng.sample(range(1 << 47), 250))
+        sets += [both, set(sorted(both, key=lambda x: rng.random())[: 200 - i % 2])]
+        bands += [[i], [i]]
+    found = {r["class"]: r.family for r in origin.families(sets_of(spark, sets, bands)).collect()}
+    assert found == {2 * i + k: 2 * i for i in range(0, 80, 2) for k in (0, 1)}
