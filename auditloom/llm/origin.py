@@ -4,8 +4,8 @@ Every file becomes a set of shingles of five tokens, with identifiers, numbers a
 are one class; classes that fall into one bucket of a MinHash band are compared with each other and linked at a similarity
 of 0.8 or more; linked classes are one family. What is known of some members decides about the others:
 
-- generated: a generator's mark in the head, or a family in which such marks and names prevail, or endless repetition;
-- vendored: a place or a licence head of a package, or one text in several repositories;
+- generated: a generator's mark in any comment line, or a family in which such marks and names prevail, or endless repetition;
+- vendored: a place or a licence of a package in a comment line, or one text in several repositories;
 - data: literals prevail; minified: short names and hardly any space.
 
 Similarity is that of the whole sets, each shingle by 48 bits of its hash. Within a bucket only pairs that are linked already,
@@ -41,7 +41,7 @@ ENDLESS = 0.1  # the same, below which a file of LONG tokens and FEW shingles is
 LONG, FEW = 100, 80
 COPIES = 3  # repositories with one and the same text
 
-# How generators mark their files, in the comments at the head.
+# How generators mark their files, in comment lines.
 GENERATED = re.compile(
     r"(?i)code generated by \S|@generated\b|<auto-?generated>|\bauto-?generated file\b|machine[- ](?:written|generated)\b.{0,40}(?:source|from|by)|generated on [\d-]+ by|do not modify by hand|produced by the \S+ (?:compiler|generator)"
     r"|(?:file|code) (?:is|was|has been) (?:auto(?:matically)?[- ]?)?(?:generated|created)\b.{0,40}\b(?:by|from|lost)|automatically (?:generated|created) (?:by|from)"
@@ -53,7 +53,13 @@ PLACES = re.compile(r"(?i)(?:^|/)(?:vendor|vendors|vendored|third[_-]?party|node
 LICENCES = re.compile(
     r"(?i)this is a copy of \S+ v?\d|@license\b|(?:\(c\)|copyright)\s*(?:\(c\)\s*)?\d{4}.{0,60}\b(?:contributors|project|authors|foundation)\b|permission is (?:hereby )?granted|released under the|redistribution (?:and use )?in source|^\W*/?\*?!\s*\w[\w-]* v?\d+\.\d+\.\d+"
 )
-HEAD = re.compile(r"(?m)^\s*(?://|#|/?\*|<!--|\"\"\").*$|/\*[\s\S]*?\*/")
+# Comments and the first lines of strings that begin a line, or (without group) other strings, patterns and comments behind code,
+# in which no comment is sought.
+NOTE = re.compile(
+    r"(?P<note>/\*[\s\S]*?\*/|^[ \t]*(?://|#|\*|<!--).*$)|^[ \t]*(?P<doc>\"\"\"[\s\S]*?\"\"\")|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|`(?:[^`\\]|\\[\s\S])*`|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'"
+    r"|(?<=[=(,:!&|?{};])[ \t]*/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/|[ \t](?://|#)[ \t].*$",
+    re.M,
+)
 COMMENT = re.compile(r"/\*[\s\S]*?\*/|^[ \t]*(?://|#(?!include)).*$|[ \t]//[ \t].*$", re.M)
 TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|[^\s\w]|[^\W\d_]+")
 WORDS = frozenset(
@@ -85,11 +91,16 @@ class _Mask(dict):
         return code
 
 
+def notes(text: str) -> str:
+    """The comment lines of a whole text."""
+    return "\n".join(m["note"] or m["doc"].split("\n")[0] for m in NOTE.finditer(text) if m.lastgroup)
+
+
 def measure(text: str, path: str, mask: _Mask) -> tuple:
     """(direct kind, marked, varied, endless, class, set, bands) of a file."""
-    head = "\n".join(m[0] for m in HEAD.finditer(text[:1500]))[:1500]
-    generated, marked = bool(GENERATED.search(head)), bool(NAMES.search(path))
-    direct = "generated" if generated else "vendored" if PLACES.search(path) or LICENCES.search(head) else None
+    said = notes(text)
+    generated, marked = bool(GENERATED.search(said)), bool(NAMES.search(path))
+    direct = "generated" if generated else "vendored" if PLACES.search(path) or LICENCES.search(said) else None
     body = COMMENT.sub("", text)
     tokens = TOKEN.findall(body)
     n = len(tokens)

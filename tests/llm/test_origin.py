@@ -127,3 +127,15 @@ def test_similarity_is_exact(spark):
         bands += [[i], [i]]
     found = {r["class"]: r.family for r in origin.families(sets_of(spark, sets, bands)).collect()}
     assert found == {2 * i + k: 2 * i for i in range(0, 80, 2) for k in (0, 1)}
+
+
+def test_marks_anywhere_in_a_file():
+    code = "let total = 0;\nlet name = 'x';\n" * 100
+    kind = lambda text: origin.measure(text, "src/a.js", origin._Mask())[0]
+    assert kind(code + "// Code generated by tool 1.2. DO NOT EDIT.\n") == "generated"
+    assert kind(code + "/*! pack v1.2.3\n * Released under the licence of its authors. */\n" + code) == "vendored"
+    assert kind(code + "const head = `\n// Code generated by tool 1.2.\n`;\n") != "generated"
+    assert kind("const q = /[`'\"]/;\n" + code + "const b = `x`;\n// Code generated by tool 1.2.\n") == "generated"
+    py = "total = 0\n" * 200
+    assert kind(py + '"""Code generated by tool 1.2."""\n') == "generated"
+    assert kind(py + 'HEAD = """\n# Code generated by tool 1.2.\n"""\n') != "generated"
