@@ -76,8 +76,9 @@ def primary_language(files: DataFrame) -> DataFrame:
     return languages(files).groupBy("repo").agg(F.min_by("language", F.struct(-F.col("file_count"), "language")).alias("language"))
 
 
-def frameworks(files: DataFrame, sources: int | None = 50, suffixes: int | None = 200) -> DataFrame:
-    """(repo, framework, evidence): by words in the root manifests, else in the first sources, else by suffix.
+def frameworks(files: DataFrame, sources: int | None = None, suffixes: int | None = None) -> DataFrame:
+    """(repo, framework, evidence): by words in the root manifests, else in the sources, else by suffix; `sources` and
+    `suffixes` are the numbers of first files by path that are read, all by default.
 
     One row a repository holds a flag for each framework and evidence, so the texts are read once and never shuffled.
     """
@@ -119,14 +120,19 @@ def connections(layers: DataFrame) -> DataFrame:
     return has.select("repo", F.inline(F.array_compact(F.array(link("Frontend", "Backend", "HTTP/WebSocket"), link("Backend", "Data Layer", "ORM/Direct")))))
 
 
-def project_type(files: DataFrame, empty: DataFrame | None = None) -> DataFrame:
-    """(repo, project_type): the kind with most points; the first in order of equals, monolith without any."""
+def project_type(files: DataFrame, empty: DataFrame | None = None, sources: int | None = None, suffixes: int | None = None) -> DataFrame:
+    """(repo, project_type): the kind with most points; the first in order of equals, monolith without any.
+
+    `sources` and `suffixes` are the numbers of first files by path that are read, all by default. Every file with a word of
+    command line tools gives two points, as in the audited rules, which read 30 files and ask 50 for their suffixes.
+    """
     top = directories(files, empty).groupBy("repo").agg(F.collect_set("directory").alias("dirs"))
     roots = files.groupBy("repo").agg(F.collect_set(F.when(~F.col("path").contains("/"), F.col("path"))).alias("roots"))
     known = files.where(language_of(F.col("ext")).isNotNull())
     ext = F.lower("ext")
-    first = first_files(known, 50).groupBy("repo").agg(F.max(ext == ".dart").alias("dart"), F.max(ext.isin(".cs", ".xaml")).alias("cs"))
-    cli = first_files(known, 30).groupBy("repo").agg(F.count_if(_contains(F.col("content"), CLI_WORDS)).alias("cli"))
+    sampled = lambda most: known if most is None else first_files(known, most)
+    first = sampled(suffixes).groupBy("repo").agg(F.max(ext == ".dart").alias("dart"), F.max(ext.isin(".cs", ".xaml")).alias("cs"))
+    cli = sampled(sources).groupBy("repo").agg(F.count_if(_contains(F.col("content"), CLI_WORDS)).alias("cli"))
     rows = roots.join(top, "repo", "left").join(first, "repo", "left").join(cli, "repo", "left")
     no = F.expr("cast(array() as array<string>)")
     d = lambda *names: F.arrays_overlap(F.coalesce("dirs", no), F.array(*map(F.lit, names)))

@@ -54,8 +54,8 @@ def first_files(files: DataFrame, most: int) -> DataFrame:
     return files.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth")
 
 
-def duplication(files: DataFrame, most: int | None = 100) -> DataFrame:
-    """(repo, lines, duplicated, percent) over the counted lines of the first `most` files, or of all.
+def duplication(files: DataFrame, most: int | None = None) -> DataFrame:
+    """(repo, lines, duplicated, percent) over the counted lines of all files, or of the first `most`.
 
     A line counts if it has ten characters or more and is no comment or import. Equal lines are summed before they meet,
     so a line that makes up most of a repository costs one row a task.

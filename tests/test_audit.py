@@ -174,3 +174,16 @@ def test_command(spark, tmp_path):
     assert "2 of them" not in whole["summaries"]["performance"]
     with pytest.raises(ValueError):
         run(spark, str(source), str(source / "out"))
+
+
+def test_no_prefix_of_the_files(corpus):
+    many = {f"a/f{i:03}.py": f"value_{i} = {i}00000\n" for i in range(210)}
+    late = {"z/app.py": "from flask import Flask\nimport argparse\n", "z/last.py": "same_line_here = 1\n" * 90, "z/view.tsx": "x\n"}
+    files = corpus(many | late)
+    assert rows(lines.duplication(files), "lines", "duplicated", "percent") == [(300, 89, 29.7)]
+    assert rows(lines.duplication(files, most=100), "lines", "duplicated") == [(100, 0)]
+    assert rows(architecture.frameworks(files), "framework", "evidence") == [("Flask", "import"), ("React", "suffix")]
+    assert rows(architecture.frameworks(files, 50, 200)) == []
+    assert rows(architecture.project_type(files), "project_type") == [("cli",)]
+    assert rows(architecture.project_type(files, sources=30, suffixes=50), "project_type") == [("monolith",)]
+    assert rows(report.audit(files), "duplication", "frameworks", "project_type") == [(29.7, 2, "cli")]
