@@ -1,4 +1,4 @@
-"""Table-driven recognisers: LALR(1) tables from a written grammar, run with a set of stacks where a cell has more actions.
+"""Table-driven recognisers: LALR(1) tables from a written grammar, run with stacks in a graph where a cell has more actions.
 
 A grammar is text: `Name: a 'b' (c | d)* e? ;`. Quoted words and names in capitals are terminals. `%shift` after an
 alternative resolves its conflicts in favour of shifting. `%not 'x' 'y'` defines an empty rule that may not be followed by
@@ -205,12 +205,26 @@ def _digraph(edges: list[list[int]], first: list[set]) -> list[set]:
     return out
 
 
-MOST = 512  # stacks at once; a text that needs more is taken as parsed so far, as only wild ambiguity gets there
+class _Many:
+    """What lies under a node of several stacks: nodes by their identity. It has no index, so a single stack cannot pass it."""
+
+    __slots__ = ("nodes",)
+
+    def __init__(self, nodes: dict) -> None:
+        self.nodes = nodes
+
+
+def _under(node) -> dict:
+    under = node[1]
+    return under.nodes if under.__class__ is _Many else {} if under is None else {id(under): under}
 
 
 def accepts(tables: Tables, kinds: list[str], inserts=None) -> int:
     """-1 if the terminals `kinds` (ended by END) are a sentence, else the place of the first that no stack can go on with.
 
+    Where a cell has several actions the stacks share a graph with one node a state and token, so that however many ways there
+    are to read a text, no more tops than states are live and the whole stream is read.
+
     `inserts(i)` may name a terminal to put in before token i once, when no stack accepts the token (line ends as ends).
     """
     action, goto, size, head = tables.action, tables.goto, tables.size, tables.head
@@ -237,9 +251,13 @@ def accepts(tables: Tables, kinds: list[str], inserts=None) -> int:
                 if a == -1:
                     return -1
                 a = -1 - a
-                for _ in range(size[a]):
-                    node = node[1]
-                state = goto[node[0]][head[a]]
+                try:
+                    for _ in range(size[a]):
+                        node = node[1]
+                    state = goto[node[0]][head[a]]
+                except TypeError:  # several stacks lie under this one
+                    stacks = [stack]
+                    break
                 node = (state, node)
                 stack = node
             if stacks is None and cell is not None:
@@ -250,46 +268,40 @@ def accepts(tables: Tables, kinds: list[str], inserts=None) -> int:
                 continue
             if stacks is None:
                 stacks = [stack]
-        # more than one stack, or an error to be looked into; equal stacks are one, as nodes are made only once
-        made: dict[tuple, tuple] = {}
-        nodes: dict[tuple, tuple] = {}
-        shifted: dict[int, tuple] = {}
-        todo, seen = list(stacks), {id(s) for s in stacks}
-        keep = list(stacks)
-        for node in todo:
-            for a in action[node[0]].get(kind, ()):
-                if a >= 0:
-                    key = (a, id(node))
-                    if key not in nodes:
-                        nodes[key] = (a, node)
-                        shifted[id(nodes[key])] = nodes[key]
-                elif a == -1:
-                    return -1
-                else:
-                    a = -1 - a
-                    under = node
-                    for _ in range(size[a]):
-                        under = under[1]
-                    key = (goto[under[0]][head[a]], id(under))
-                    new = made.get(key)
-                    if new is None:
-                        new = made[key] = (key[0], under)
-                    if id(new) not in seen:
-                        seen.add(id(new))
-                        keep.append(new)
-                        todo.append(new)
-            if len(todo) > 40 * MOST:
-                return -1
+        # more than one stack, or an error to be looked into
+        front = {s[0]: [s[0], _Many(dict(_under(s)))] for s in stacks}
+        shifted: dict[int, dict] = {}
+        again = True
+        while again:  # once more where a node got a further link, as nodes done before may reduce through it
+            again = False
+            todo = list(front.values())
+            for node in todo:
+                for a in action[node[0]].get(kind, ()):
+                    if a >= 0:
+                        shifted.setdefault(a, {})[id(node)] = node
+                    elif a == -1:
+                        return -1
+                    else:
+                        a = -1 - a
+                        ends = {id(node): node}
+                        for _ in range(size[a]):
+                            ends = {k: v for x in ends.values() for k, v in _under(x).items()}
+                        for k, under in ends.items():
+                            state = goto[under[0]][head[a]]
+                            new = front.get(state)
+                            if new is None:
+                                new = front[state] = [state, _Many({k: under})]
+                                todo.append(new)
+                            elif k not in new[1].nodes:
+                                new[1].nodes[k] = under
+                                again = True
         if shifted:
-            found = list(shifted.values())
-            if len(found) > MOST:
-                return -1
-            if len(found) == 1:
-                stack, stacks = found[0], None
-            else:
-                stacks = _merged(found)
-                if len(stacks) == 1:
-                    stack, stacks = stacks[0], None
+            for node in front.values():
+                if len(node[1].nodes) < 2:
+                    node[1] = next(iter(node[1].nodes.values()), None)
+            stacks = [(a, next(iter(nodes.values())) if len(nodes) == 1 else _Many(nodes)) for a, nodes in shifted.items()]
+            if len(stacks) == 1:
+                stack, stacks = stacks[0], None
             if pending:
                 pending = None
             else:
@@ -301,18 +313,3 @@ def accepts(tables: Tables, kinds: list[str], inserts=None) -> int:
         if len(stacks) == 1:
             stack, stacks = stacks[0], None
     return -1
-
-
-def _merged(stacks: list[tuple]) -> list[tuple]:
-    """Without repeats: stacks of the same states are one, though they were built apart."""
-    out: dict[tuple, tuple] = {}
-    for s in stacks:
-        # the last nodes differ where stacks differ at all in practice; equal tails share their objects
-        key, node = [], s
-        for _ in range(24):
-            if node is None:
-                break
-            key.append(node[0])
-            node = node[1]
-        out.setdefault((tuple(key), id(node)), s)
-    return list(out.values())

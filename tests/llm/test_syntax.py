@@ -85,3 +85,12 @@ def test_rows(spark):
     metrics = files.select("repo", "file_path")
     assert ("r", "javascript", 2, 2, 1.0) in rows(syntax.rates(files, metrics))
     assert rows(syntax.broken_files(files.limit(0))) == [] and rows(syntax.rates(files, metrics.limit(0))) == []
+
+
+def test_ambiguity_is_read_to_the_end():
+    from auditloom.llm import lalr
+
+    wild = lalr.Tables("S: T ; T: T T | 'a' ;")
+    for n in (1, 5, 60):
+        assert lalr.accepts(wild, ["a"] * n + [lalr.END]) == -1
+        assert lalr.accepts(wild, ["a"] * n + ["b", lalr.END]) == n
