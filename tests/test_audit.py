@@ -187,3 +187,8 @@ def test_no_prefix_of_the_files(corpus):
     assert rows(architecture.project_type(files), "project_type") == [("cli",)]
     assert rows(architecture.project_type(files, sources=30, suffixes=50), "project_type") == [("monolith",)]
     assert rows(report.audit(files), "duplication", "frameworks", "project_type") == [(29.7, 2, "cli")]
+
+
+def test_every_match_of_a_wide_rule(corpus):
+    loop = "x = 1\nfor u in users:\n    requests.fetch(u)\n"
+    assert rows(scan.performance_wide(corpus({"a.py": loop * 3})), "line_no", "rule_type") == [(2, "Expensive Loop"), (5, "Expensive Loop"), (8, "Expensive Loop")]
