@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from auditloom.llm import residue
 from tests.conftest import rows
 
@@ -47,4 +49,39 @@ def test_edges(spark):
 
 def test_passages():
     assert residue.passages('A `x` b.\n```\ncode {{ y }}\n```\n"quote of it" c') == ["A  code  b.", "quoted  c"]
-    assert residue.features("Dear {{ x }}")[1] and not residue.features("Dear <name>")[1]
+    assert residue.trusted("Dear {{ x }}") and not residue.trusted("Dear <name>")
+
+
+def weights_of(found, trusted):
+    owner, flat = residue.features(found, residue._Codes())
+    return residue.fit(owner, flat, np.array(trusted, bool))
+
+
+def test_the_scores_decide_not_the_forms():
+    """Without the model the forms miss fields of other kinds and later filler, and hit what is talked about."""
+    rng = random.Random(5)
+    words = "ledger parcel cabinet roster stencil widget canvas".split()
+    filler = "magna aliqua tempor nisi ullamco cillum sit amet".split()
+    fields = ["{{ %s }}", "${%s}", "%%%%%s%%%%", "«%s»", "{%s}"]
+    forms = ["Report for %s, prepared by %s.", "Welcome to %s!", "Contact %s for help."]
+    field = lambda kinds: rng.choice(kinds) % rng.choice(words).upper()
+    form = lambda kinds: (f := rng.choice(forms)) % tuple(field(kinds) for _ in range(f.count("%s")))
+    real = [f"The {a} module keeps a record of each {b} and drops it after {rng.randint(2, 99)} minutes." for a in words for b in words for _ in range(20)]
+    talk = [f"The {a} module keeps a record of each {a} and drops it after the lorem ipsum dolor sit amet of the {b} minutes." for a, b in zip(words[:5], words[2:])]
+    known = [form(fields[:3]) for _ in range(90)] + ["Lorem ipsum dolor sit amet, " + " ".join(rng.choices(filler, k=9)) + "." for _ in range(60)] + [f"Please enable JavaScript to view the {w} page." for w in words * 6]
+    train = real + talk[:3] + known
+    weights = weights_of(train, [residue.trusted(p) for p in train])
+    decide = lambda ps: residue.odds_of(ps, weights, residue._Codes()) >= residue.ODDS
+    new = [form(fields[3:]) for _ in range(60)] + [" ".join(rng.choices(filler, k=10)).capitalize() + "." for _ in range(40)]
+    assert not any(map(residue.trusted, new)) and decide(new).mean() > 0.95
+    assert all(map(residue.trusted, talk)) and not decide(talk).any() and decide(known).mean() > 0.95
+    assert not decide([f"The {w} module keeps a record of each {v}." for w in words for v in words]).any()
+    assert not residue.odds_of([], weights, residue._Codes()).size
+
+
+def test_slices_change_nothing(monkeypatch):
+    found = [f"Passage {i} of the ledger." for i in range(50)] + ["Dear {{ x }}", "なぜですか。"] * 5
+    weights = weights_of(found, [residue.trusted(p) for p in found])
+    whole = residue.odds_of(found, weights, residue._Codes())
+    monkeypatch.setattr(residue, "SLICE", 40)
+    assert np.allclose(residue.odds_of(found, weights, residue._Codes()), whole)
