@@ -1,4 +1,4 @@
-"""Table-driven recognisers: LALR(1) tables from a written grammar, run with stacks in a graph where a cell has more actions.
+"""Table-driven recognisers: LALR(1) tables from a written grammar, run by a machine that remembers its steps.
 
 A grammar is text: `Name: a 'b' (c | d)* e? ;`. Quoted words and names in capitals are terminals. `%shift` after an
 alternative resolves its conflicts in favour of shifting. `%not 'x' 'y'` defines an empty rule that may not be followed by
@@ -205,111 +205,135 @@ def _digraph(edges: list[list[int]], first: list[set]) -> list[set]:
     return out
 
 
-class _Many:
-    """What lies under a node of several stacks: nodes by their identity. It has no index, so a single stack cannot pass it."""
+REJECT, ACCEPT = -1, -2
 
-    __slots__ = ("nodes",)
 
-    def __init__(self, nodes: dict) -> None:
-        self.nodes = nodes
+class Machine:
+    """A recogniser that remembers its steps.
 
+    A node is a state over a set of nodes, a configuration a set of top nodes, one a state; both are known by number, equal
+    ones by the same, so that all stacks share one graph. Where a configuration leads by a terminal depends on the two alone:
+    it is worked out once, with all ways at once where a cell has several actions, and looked up afterwards. However many ways
+    there are to read a text, no more tops than states are live, and the whole stream is read.
 
-def _under(node) -> dict:
-    under = node[1]
-    return under.nodes if under.__class__ is _Many else {} if under is None else {id(under): under}
+    More than `most` nodes are dropped, but for those under the configuration at hand, so memory is bounded by the depth of a
+    text and not by its length.
+    """
 
+    def __init__(self, tables: Tables, most: int = 1_000_000):
+        self.tables, self.most = tables, most
+        self._clear()
 
-def accepts(tables: Tables, kinds: list[str], inserts=None) -> int:
-    """-1 if the terminals `kinds` (ended by END) are a sentence, else the place of the first that no stack can go on with.
+    def _clear(self) -> None:
+        self.state: list[int] = []
+        self.under: list[tuple[int, ...]] = []
+        self.nodes: dict[tuple, int] = {}
+        self.tops: list[tuple[int, ...]] = []
+        self.configurations: dict[tuple, int] = {}
+        self.steps: list[dict[str, int]] = []
+        self.start = self._configuration((self._node(0, ()),))
 
-    Where a cell has several actions the stacks share a graph with one node a state and token, so that however many ways there
-    are to read a text, no more tops than states are live and the whole stream is read.
+    def _node(self, state: int, under: tuple[int, ...]) -> int:
+        key = (state, under)
+        at = self.nodes.get(key)
+        if at is None:
+            at = self.nodes[key] = len(self.state)
+            self.state.append(state)
+            self.under.append(under)
+        return at
 
-    `inserts(i)` may name a terminal to put in before token i once, when no stack accepts the token (line ends as ends).
-    """
-    action, goto, size, head = tables.action, tables.goto, tables.size, tables.head
-    stack: tuple = (0, None)
-    stacks: list[tuple] | None = None
-    i, n = 0, len(kinds)
-    pending = None
-    tried = -1
-    while i < n:
-        kind = pending or kinds[i]
-        if stacks is None:  # one stack
-            node, state = stack, stack[0]
-            while True:
-                cell = action[state].get(kind)
-                if cell is None:
-                    break
-                if len(cell) > 1:
-                    stacks = [stack]
-                    break
-                a = cell[0]
-                if a >= 0:
-                    stack = (a, node)
-                    break
+    def _configuration(self, tops: tuple[int, ...]) -> int:
+        at = self.configurations.get(tops)
+        if at is None:
+            at = self.configurations[tops] = len(self.tops)
+            self.tops.append(tops)
+            self.steps.append({})
+        return at
+
+    def step(self, at: int, kind: str) -> int:
+        """The configuration after the terminal `kind`, REJECT or ACCEPT."""
+        action, goto, size, head = self.tables.action, self.tables.goto, self.tables.size, self.tables.head
+        state, under = self.state, self.under
+        # what lies under each state at the front: nodes by number, and -1 - s for the front's own state s
+        front: dict[int, set[int]] = {state[t]: set(under[t]) for t in self.tops[at]}
+        todo = list(front)
+        while todo:
+            s = todo.pop()
+            for a in action[s].get(kind, ()):
                 if a == -1:
-                    return -1
-                a = -1 - a
-                try:
-                    for _ in range(size[a]):
-                        node = node[1]
-                    state = goto[node[0]][head[a]]
-                except TypeError:  # several stacks lie under this one
-                    stacks = [stack]
-                    break
-                node = (state, node)
-                stack = node
-            if stacks is None and cell is not None:
-                if pending:
-                    pending = None
-                else:
-                    i += 1
+                    self.steps[at][kind] = ACCEPT
+                    return ACCEPT
+                if a >= 0:
+                    continue
+                rule = -1 - a
+                ends = {-1 - s}
+                for _ in range(size[rule]):
+                    ends = {y for x in ends for y in (front[-1 - x] if x < 0 else under[x])}
+                for e in ends:
+                    new = goto[-1 - e if e < 0 else state[e]][head[rule]]
+                    have = front.get(new)
+                    if have is None:
+                        front[new] = {e}
+                        todo.append(new)
+                    elif e not in have:
+                        have.add(e)
+                        todo += front  # what was done before may reduce through the further link
+        made: dict[int, int] = {}
+
+        def settled(s: int, above: tuple[int, ...] = ()) -> int:
+            if s not in made:
+                if s in above:
+                    raise ValueError("a rule of the grammar is left recursive behind an empty one")
+                made[s] = self._node(s, tuple(sorted(settled(-1 - x, (*above, s)) if x < 0 else x for x in front[s])))
+            return made[s]
+
+        shifted: dict[int, list[int]] = {}
+        for s in front:
+            for a in action[s].get(kind, ()):
+                if a >= 0:
+                    shifted.setdefault(a, []).append(settled(s))
+        found = self._configuration(tuple(sorted(self._node(a, tuple(sorted(x))) for a, x in shifted.items()))) if shifted else REJECT
+        self.steps[at][kind] = found
+        return found
+
+    def _to(self, at: int, kind: str) -> int:
+        found = self.steps[at].get(kind)
+        return self.step(at, kind) if found is None else found
+
+    def compact(self, at: int) -> int:
+        """Drops all but the configuration `at`, and gives its new number."""
+        tops, state, under = self.tops[at], self.state, self.under
+        self._clear()
+        moved: dict[int, int] = {}
+        todo = list(tops)
+        while todo:
+            x = todo[-1]
+            rest = [y for y in under[x] if y not in moved]
+            if rest and x not in moved:
+                todo += rest
                 continue
-            if stacks is None:
-                stacks = [stack]
-        # more than one stack, or an error to be looked into
-        front = {s[0]: [s[0], _Many(dict(_under(s)))] for s in stacks}
-        shifted: dict[int, dict] = {}
-        again = True
-        while again:  # once more where a node got a further link, as nodes done before may reduce through it
-            again = False
-            todo = list(front.values())
-            for node in todo:
-                for a in action[node[0]].get(kind, ()):
-                    if a >= 0:
-                        shifted.setdefault(a, {})[id(node)] = node
-                    elif a == -1:
-                        return -1
-                    else:
-                        a = -1 - a
-                        ends = {id(node): node}
-                        for _ in range(size[a]):
-                            ends = {k: v for x in ends.values() for k, v in _under(x).items()}
-                        for k, under in ends.items():
-                            state = goto[under[0]][head[a]]
-                            new = front.get(state)
-                            if new is None:
-                                new = front[state] = [state, _Many({k: under})]
-                                todo.append(new)
-                            elif k not in new[1].nodes:
-                                new[1].nodes[k] = under
-                                again = True
-        if shifted:
-            for node in front.values():
-                if len(node[1].nodes) < 2:
-                    node[1] = next(iter(node[1].nodes.values()), None)
-            stacks = [(a, next(iter(nodes.values())) if len(nodes) == 1 else _Many(nodes)) for a, nodes in shifted.items()]
-            if len(stacks) == 1:
-                stack, stacks = stacks[0], None
-            if pending:
-                pending = None
-            else:
-                i += 1
-            continue
-        if pending or inserts is None or tried == i or not (pending := inserts(i)):
-            return i
-        tried = i
-        if len(stacks) == 1:
-            stack, stacks = stacks[0], None
-    return -1
+            todo.pop()
+            if x not in moved:
+                moved[x] = self._node(state[x], tuple(sorted(moved[y] for y in under[x])))
+        return self._configuration(tuple(sorted(moved[t] for t in tops)))
+
+    def accepts(self, kinds: list[str], inserts=None) -> int:
+        """-1 if the terminals `kinds` (ended by END) are a sentence, else the place of the first that no stack can go on with.
+
+        `inserts(i)` may name a terminal to put in before token i once, when no stack accepts the token (line ends as ends).
+        """
+        at, steps = self.start, self.steps
+        for i, kind in enumerate(kinds):
+            to = steps[at].get(kind)
+            if to is None:
+                if len(self.state) > self.most:
+                    at = self.compact(at)
+                    steps = self.steps
+                to = self.step(at, kind)
+            if to == REJECT and inserts is not None and (extra := inserts(i)):
+                between = self._to(at, extra)
+                to = self._to(between, kind) if between >= 0 else between
+            if to < 0:
+                return -1 if to == ACCEPT else i
+            at = to
+        return -1
