@@ -2,11 +2,14 @@
 
 Every file becomes a set of shingles of five tokens, with identifiers, numbers and strings masked. Files with equal sets
 are one class; classes that fall into one bucket of a MinHash band are compared with each other and linked at a similarity
-of 0.8 or more; linked classes are one family. What is known of some members decides about the others:
+of 0.8 or more; linked classes are one family. What is seen in the files of a family are seeds; the family decides for all of
+its files, against a seed too:
 
-- generated: a generator's mark in any comment line, or a family in which such marks and names prevail, or endless repetition;
-- vendored: a place or a licence of a package in a comment line, or one text in several repositories;
-- data: literals prevail; minified: short names and hardly any space.
+- generated: a generator's mark in a comment line or a generator's way of naming files, in `PREVAIL` of the family;
+- data: literals prevail, in `MOST` of the family; minified: short names and hardly any space, likewise.
+
+A family of one decides for itself. Copies of packages have the shapes of any code, so masked families cannot tell them;
+they are known by a place or a licence of a package in a comment line, or as one text in several repositories.
 
 Similarity is that of the whole sets, each shingle by 48 bits of its hash. Within a bucket only pairs that are linked already,
 directly or through others, and pairs of sizes that rule 0.8 out are left uncompared, as neither can change a family. Buckets
@@ -18,6 +21,7 @@ Null contents and empty files are written by hand for want of evidence. Files ar
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,10 +39,9 @@ SIMILAR = 0.8
 WIDTH = 6  # bytes a shingle
 BLOCK = 2048  # classes of a bucket that are held at once, twice
 BANDS, ROWS = 8, 4
-PREVAIL = 0.3  # share of a family with marks from which all of it is generated
-VARIED = 0.25  # distinct shingles a token, above which no file of a family counts as generated by it
-ENDLESS = 0.1  # the same, below which a file of LONG tokens and FEW shingles is generated by itself
-LONG, FEW = 100, 80
+PREVAIL = 0.3  # share of a family with a generator's marks from which all of it is generated
+MOST = 0.5  # share of a family that looks like data, or minified, from which all of it is
+DENSE = 16  # letters of a line of a long string, without a space, from which it is data and no text
 COPIES = 3  # repositories with one and the same text
 
 # How generators mark their files, in comment lines.
@@ -61,7 +64,7 @@ NOTE = re.compile(
     re.M,
 )
 COMMENT = re.compile(r"/\*[\s\S]*?\*/|^[ \t]*(?://|#(?!include)).*$|[ \t]//[ \t].*$", re.M)
-TOKEN = re.compile(r"[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|[^\s\w]|[^\W\d_]+")
+TOKEN = re.compile(r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|[^\s\w]|[^\W\d_]+")
 WORDS = frozenset(
     "def class return if elif else for while in import from const let var function async await try except finally public private protected static final void int long string bool boolean func type struct interface package switch case default break continue new this self throw throws raise with as lambda yield map range chan select go defer extends implements export enum true false null None True False".split()
 )
@@ -96,34 +99,54 @@ def notes(text: str) -> str:
     return "\n".join(m["note"] or m["doc"].split("\n")[0] for m in NOTE.finditer(text) if m.lastgroup)
 
 
+def tokens_of(body: str) -> tuple[list[str], int]:
+    """(tokens, letters in strings); a long string is one token of text, or a literal for each of its lines that hold data."""
+    tokens: list[str] = []
+    letters = 0
+    for t in TOKEN.findall(body):
+        if len(t) > 5 and t[:3] in ('"""', "'''"):
+            dense = [line for line in t[3:-3].split("\n") if len(line) >= DENSE and " " not in line.strip()]
+            letters += sum(map(len, dense))
+            tokens += ['""'] * len(dense) or ["§"]
+        else:
+            if t[0] in "\"'`":
+                letters += len(t)
+            tokens.append(t)
+    return tokens, letters
+
+
 def measure(text: str, path: str, mask: _Mask) -> tuple:
-    """(direct kind, marked, varied, endless, class, set, bands) of a file."""
+    """(generated, vendored, data, minified: what is seen; class, set, bands) of a file."""
     said = notes(text)
-    generated, marked = bool(GENERATED.search(said)), bool(NAMES.search(path))
-    direct = "generated" if generated else "vendored" if PLACES.search(path) or LICENCES.search(said) else None
+    generated = bool(NAMES.search(path)) or bool(GENERATED.search(said))
+    vendored = bool(PLACES.search(path)) or bool(LICENCES.search(said))
     body = COMMENT.sub("", text)
-    tokens = TOKEN.findall(body)
+    tokens, letters = tokens_of(body)
     n = len(tokens)
     codes = np.fromiter(map(mask.__getitem__, tokens), np.uint64, n)
-    if direct is None and n:
+    data = minified = False
+    if n:
         literal = np.count_nonzero((codes == 2) | (codes == 3)) / n
-        strings = sum(len(t) for t in tokens if t[0] in "\"'`") / max(1, len(body))
-        names = [len(t) for t in tokens if (t[0].isalpha() or t[0] in "_$") and t not in WORDS]
-        if n >= 20 and literal >= 0.35 or len(body) >= 400 and strings >= 0.7:
-            direct = "data"
-        elif n >= 50 and names and sum(names) / len(names) < 3 and sum(map(body.count, " \t\n")) / len(body) < 0.08:
-            direct = "minified"
+        data = n >= 20 and literal >= 0.35 or len(body) >= 400 and letters / len(body) >= 0.7
+        if not data and n >= 50 and sum(map(body.count, " \t\n")) / len(body) < 0.08:
+            names = [len(t) for t in tokens if (t[0].isalpha() or t[0] in "_$") and t not in WORDS]
+            minified = bool(names) and sum(names) / len(names) < 3
     if n < SHINGLE:
-        return direct, marked or generated, True, False, None, b"", []
+        return generated, vendored, data, minified, None, b"", []
     with np.errstate(over="ignore"):
         rolled = sum((codes[i : n - SHINGLE + 1 + i] * POWERS[i] for i in range(SHINGLE)), np.zeros(n - SHINGLE + 1, np.uint64))
-        distinct = np.unique((rolled ^ (rolled >> np.uint64(29))) * MIX >> np.uint64(1))  # below 2^63, so the JVM sorts them alike
+        mixed = np.sort((rolled ^ (rolled >> np.uint64(29))) * MIX >> np.uint64(1))  # below 2^63, so the JVM sorts them alike
+        distinct = mixed[np.concatenate([[True], mixed[1:] != mixed[:-1]])]
         least = (distinct[:, None] * FACTORS[None, :] >> np.uint64(11)).min(axis=0).reshape(BANDS, ROWS)
         bands = (least * FACTORS[:ROWS]).sum(axis=1) ^ (np.arange(BANDS, dtype=np.uint64) * MIX)
     packed = np.ascontiguousarray((distinct >> np.uint64(15)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
-    share = len(distinct) / n
-    label = zlib.crc32(packed) << 31 | zlib.adler32(packed + str(len(distinct)).encode()) & 0x7FFFFFFF
-    return direct, marked or generated, share > VARIED, n >= LONG and len(distinct) <= FEW and share < ENDLESS, label, packed, bands.view(np.int64).tolist()
+    return generated, vendored, data, minified, _id(packed, 8), packed, bands.view(np.int64).tolist()
+
+
+def _id(data: bytes, size: int):
+    """A number of 64 bits, or `size` bytes, that stands for these bytes."""
+    digest = hashlib.blake2b(data, digest_size=size).digest()
+    return int.from_bytes(digest, "little", signed=True) if size == 8 else digest
 
 
 def same_path(path: Column) -> Column:
@@ -137,9 +160,9 @@ def same_path(path: Column) -> Column:
 
 
 def measured(source_files: DataFrame) -> DataFrame:
-    """(repo, file_path, text, direct, marked, varied, endless, class, set, bands): one Arrow pass over the files."""
-    schema = "repo string, file_path string, text long, direct string, marked boolean, varied boolean, endless boolean, class long, set binary, bands array<long>"
-    types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    """(repo, file_path, text, generated, vendored, data, minified, class, set, bands): one Arrow pass over the files."""
+    schema = "repo string, file_path string, text binary, generated boolean, vendored boolean, data boolean, minified boolean, class long, set binary, bands array<long>"
+    types = [pa.string(), pa.string(), pa.binary(), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +170,7 @@ def measured(source_files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for repo, path, text in zip(*(batch.column(c).to_pylist() for c in ("repo", "file_path", "content"))):
-                raw = text.encode("utf-8", "surrogatepass")
-                rows.append((repo, path, zlib.crc32(raw) << 31 | zlib.adler32(raw) & 0x7FFFFFFF, *measure(text, path or "", mask)))
+                rows.append((repo, path, _id(text.encode("utf-8", "surrogatepass"), 16), *measure(text, path or "", mask)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types)], names)
 
     return spread(source_files.where("content is not null").select("repo", "file_path", "content")).mapInArrow(run, schema)
@@ -215,17 +237,30 @@ def families(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     return components(linked).select(F.col("node").alias("class"), F.col("component").alias("family"))
 
 
+def decided(files: DataFrame, found: DataFrame) -> DataFrame:
+    """(class, decision) of the classes whose family is generated, data or minified; `found` is (class, family).
+
+    Each file counts once, however many rows repeat it. A family that holds most of all files costs one row a task.
+    """
+    seen = files.where("class is not null").dropDuplicates(["repo", "file_path"])
+    classes = seen.groupBy("class").agg(F.count("*").alias("files"), *(F.count_if(k).alias(k) for k in ("generated", "data", "minified")))
+    sizes = classes.join(found, "class", "left").withColumn("family", F.coalesce("family", "class"))
+    whole = sizes.groupBy("family").agg(F.sum("files").alias("n"), *(F.sum(k).alias(k) for k in ("generated", "data", "minified")))
+    over = lambda k, share: F.col(k) >= F.col("n") * share
+    decision = F.when(over("generated", PREVAIL), "generated").when(over("data", MOST), "data").when(over("minified", MOST), "minified")
+    return sizes.select("class", "family").join(whole.select("family", decision.alias("decision")).where("decision is not null"), "family").select("class", "decision")
+
+
 def origins(source_files: DataFrame) -> DataFrame:
     """(repo, file_path, origin): each file once; origin is generated, vendored, data, minified or null (by hand)."""
     files = cut(measured(source_files))
-    classes = files.where("class is not null").groupBy("class").agg(F.first("set").alias("set"), F.first("bands").alias("bands"), F.count("*").alias("files"), F.count_if("marked").alias("marked"))
-    found = families(classes)
-    sizes = classes.select("class", "files", "marked").join(found, "class", "left").withColumn("family", F.coalesce("family", "class"))
-    made = sizes.groupBy("family").agg((F.sum("marked") / F.sum("files")).alias("share"), F.sum("files").alias("n")).where((F.col("share") >= PREVAIL) & (F.col("n") > 1)).select("family")
-    generated = sizes.join(made, "family", "left_semi").select("class", F.lit(True).alias("made"))
-    copied = files.where("class is not null").groupBy("text").agg(F.size(F.collect_set(F.when(F.col("direct").isNull(), F.col("repo")))).alias("repos"), F.min(F.length("set")).alias("size")).where((F.col("repos") >= COPIES) & (F.col("size") >= 20 * WIDTH)).select("text", F.lit(True).alias("copied"))
-    judged = files.select("repo", "file_path", "text", "direct", "varied", "endless", "class").join(generated, "class", "left").join(copied, "text", "left")
-    origin = F.coalesce("direct", F.when(F.col("endless") | F.col("made") & ~F.col("varied"), "generated"), F.when(F.col("copied"), "vendored"))
+    classes = files.where("class is not null").groupBy("class").agg(F.first("set").alias("set"), F.first("bands").alias("bands"))
+    decisions = decided(files.select("repo", "file_path", "generated", "data", "minified", "class"), families(classes))
+    places = files.where((F.length("set") >= 20 * WIDTH) & ~F.col("vendored")).select("text", "repo").distinct()
+    copied = places.groupBy("text").agg(F.count("*").alias("repos")).where(F.col("repos") >= COPIES).select("text", F.lit(True).alias("copied"))
+    judged = files.drop("set", "bands").join(decisions, "class", "left").join(copied, "text", "left")
+    short = F.when(F.col("class").isNull(), F.when(F.col("generated"), "generated").when(F.col("data"), "data"))  # too few tokens for a shingle
+    origin = F.coalesce(F.when(F.col("decision").isin("generated", "data", "minified") & ~F.col("vendored"), F.col("decision")), F.when(F.col("vendored"), "vendored"), short, F.when(F.col("copied"), "vendored"))
     return judged.select("repo", "file_path", origin.alias("origin")).dropDuplicates(["repo", "file_path"])
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from auditloom.llm import origin
 from auditloom.llm.components import components
 from tests.conftest import rows
@@ -131,11 +133,50 @@ def test_similarity_is_exact(spark):
 
 def test_marks_anywhere_in_a_file():
     code = "let total = 0;\nlet name = 'x';\n" * 100
-    kind = lambda text: origin.measure(text, "src/a.js", origin._Mask())[0]
-    assert kind(code + "// Code generated by tool 1.2. DO NOT EDIT.\n") == "generated"
-    assert kind(code + "/*! pack v1.2.3\n * Released under the licence of its authors. */\n" + code) == "vendored"
-    assert kind(code + "const head = `\n// Code generated by tool 1.2.\n`;\n") != "generated"
-    assert kind("const q = /[`'\"]/;\n" + code + "const b = `x`;\n// Code generated by tool 1.2.\n") == "generated"
+    seen = lambda text: origin.measure(text, "src/a.js", origin._Mask())[:2]
+    assert seen(code + "// Code generated by tool 1.2. DO NOT EDIT.\n") == (True, False)
+    assert seen(code + "/*! pack v1.2.3\n * Released under the licence of its authors. */\n" + code) == (False, True)
+    assert seen(code + "const head = `\n// Code generated by tool 1.2.\n`;\n") == (False, False)
+    assert seen("const q = /[`'\"]/;\n" + code + "const b = `x`;\n// Code generated by tool 1.2.\n") == (True, False)
     py = "total = 0\n" * 200
-    assert kind(py + '"""Code generated by tool 1.2."""\n') == "generated"
-    assert kind(py + 'HEAD = """\n# Code generated by tool 1.2.\n"""\n') != "generated"
+    assert seen(py + '"""Code generated by tool 1.2."""\n') == (True, False)
+    assert seen(py + 'HEAD = """\n# Code generated by tool 1.2.\n"""\n') == (False, False)
+
+
+def test_long_strings():
+    rng = random.Random(3)
+    blob = 'DATA = """\n' + "\n".join("".join(rng.choices("abcdefXYZ0123+/", k=76)) for _ in range(30)) + '\n"""\n'
+    prose = '"""\n' + "This module keeps a record of every parcel and says so at length.\n" * 30 + '"""\nimport os\n'
+    assert origin.measure(blob, "a.py", origin._Mask())[2] and not origin.measure(prose, "a.py", origin._Mask())[2]
+
+
+def test_families_decide(spark, monkeypatch):
+    """Without families the unmarked members of generated ones are lost, and a mark in hand-written code counts."""
+    rng = random.Random(7)
+    base = [f"this.f{k} {rng.choice(['=', '+=', '-=', '*='])} get(m, {k}) {rng.choice(['+', '-', '*', '/', '%', '&'])} {rng.choice(['1', 'x', 'y[2]', 'z()', '!w', '-v'])};" for k in range(60)]
+    made = lambda i: "\n".join([*base, "a " + "+-*/%&|^<>"[i] + " b;"])
+    files = [("r", f"src/g{i}.js", ("// Code generated by tool 1.2. DO NOT EDIT.\n" if i % 2 else "") + made(i)) for i in range(10)]
+    files += [("r", f"src/a{i}.py", hand(rng)) for i in range(12)] + [("s", "src/writer.py", "# This head says: code generated by tool 3.\n" + hand(rng))]
+    files += [("s", "src/alone.js", "// Code generated by tool 1.2. DO NOT EDIT.\n" + "x.y(1);\nfor (;;) { z(); }\n" * 3)]
+    df = spark.createDataFrame(files * 2, "repo string, file_path string, content string")
+    generated = lambda: {r.file_path for r in origin.origins(df).where("origin = 'generated'").collect()}
+    assert generated() == {f"src/g{i}.js" for i in range(10)} | {"src/alone.js"}
+    monkeypatch.setattr(origin, "families", lambda classes: spark.createDataFrame([], "class long, family long"))
+    assert generated() == {f"src/g{i}.js" for i in range(1, 10, 2)} | {"src/alone.js"}
+
+
+def test_links_against_brute_force():
+    """The share of pairs at 0.8 or more that a band brings together, over sets that differ by a few shingles."""
+    rng = np.random.default_rng(1)
+    met = pairs = 0
+    for _ in range(600):
+        tokens = [f"{c}" for c in rng.choice(list("+-*/%<>=&|^!~?:;,.(){}[]"), 300)]
+        other = list(tokens)
+        for at in rng.integers(0, 300, rng.integers(1, 6)):
+            other[at] = "@"
+        a, b = (origin.measure(" ".join(t), "a.js", origin._Mask()) for t in (tokens, other))
+        x, y = ({m[5][i : i + origin.WIDTH] for i in range(0, len(m[5]), origin.WIDTH)} for m in (a, b))
+        if len(x & y) / len(x | y) >= origin.SIMILAR:
+            pairs += 1
+            met += bool(set(a[6]) & set(b[6]))
+    assert pairs > 200 and met / pairs > 0.97
