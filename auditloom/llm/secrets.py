@@ -1,10 +1,12 @@
 """Credentials in code: found by rules through a trigram index, judged by their value, hidden in place.
 
-Each Arrow batch is a block of chunks. A trigram index of the block is built, the trigrams that each rule's regex requires
-are derived from it, the postings are intersected, and the regex runs on the candidates alone. A hit counts if its value is a
-literal that would grant access: not a placeholder, a mask, a reference or a word. Values written in pieces are read joined.
+Each Arrow batch is a block of texts, cut into chunks. A trigram index of the block is built over the chunks, the trigrams that
+each rule's regex requires are derived from it, the postings are intersected, and the regex runs on the candidates alone. As a
+match may be of any length, the trigrams may lie in several chunks of a text, and the regex runs on the whole text. A hit
+counts if its value is a literal that would grant access: not a placeholder, a mask, a reference or a word. Values written in
+pieces are read joined. Values have no greatest length.
 
-Null and empty texts hold nothing. Texts are searched whole, in overlapping chunks where they are long. Other columns pass.
+Null and empty texts hold nothing. Texts are searched whole, whatever their length. Other columns pass.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +28,7 @@ from pyspark.sql import types as T
 from auditloom.llm import trigrams
 from auditloom.session import spread
 
-CHUNK, OVERLAP = 20_000, 4_000
+CHUNK = 20_000  # characters of a text that share their postings
 HIDDEN = "REDACTED"
 
 Q = "[\"'`]"
@@ -42,6 +45,7 @@ class Rule:
     name: str
     pattern: str
     kind: str
+    part: str = ""  # what each match holds, for patterns that are dear to search for
 
 
 RULES = (
@@ -58,7 +62,7 @@ RULES = (
     Rule("mail_token", r"(?<![A-Za-z0-9])(?P<v>(?:SG|qlm)\.[A-Za-z0-9_-]{12,}\.[A-Za-z0-9_-]{4,})", "known"),
     Rule("json_web_token", r"(?<![A-Za-z0-9])(?P<v>eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{6,})?)", "known"),
     Rule("account_key", r"(?i)AccountKey=(?P<v>[A-Za-z0-9+/=_-]{16,})", "token"),
-    Rule("url_password", URLISH + r"[^\s\"'`/@:<>]{0,60}:(?P<v>[^\s\"'`@/<>{}]{3,80})@[\w.\[\]-]", "password"),
+    Rule("url_password", URLISH + r"[^\s\"'`/@:<>]{0,60}:(?P<v>[^\s\"'`@/<>{}]{3,})@[\w.\[\]-]", "password"),
     Rule("url_parameter", r"(?i)[?&](?:[a-z_-]*key|[a-z_-]*token|sig|signature|secret|password|pwd|auth)=(?P<v>[^\s\"'`&#<>]{8,})", "token"),
     Rule("hook_address", r"(?i)/(?:services|hooks?|webhooks?)/(?:[a-z0-9_-]{1,20}/){0,3}(?P<v>[A-Za-z0-9._+=/-]{16,})", "token"),
     Rule("basic_header", r"(?i)basic\s+(?P<v>[A-Za-z0-9+/_-]{8,}={0,2})", "basic"),
@@ -68,14 +72,14 @@ RULES = (
     Rule("client_option", r"(?i)\b(?:mysql|mysqldump|mariadb|mongo|redis-cli|psql)\b[^\n\"'`]*?\s-(?:p|a\s)(?P<v>[^\s\"'`]{4,})", "password"),
     Rule("sshpass", r"(?i)sshpass\s+-p\s*\\?[\"']?(?P<v>[^\s\"'`\\]{4,})", "password"),
     Rule("identified_by", r"(?i)identified\s+(?:with\s+\w+\s+)?by\s+(?:password\s+)?\\?[\"'](?P<v>[^\"'\n\\]{4,})", "password"),
-    Rule("password_name", r"(?i)(?P<n>(?:" + PASSWORD + r")[\w-]{0,20})(?:\\?[\"'`]|\]|[ \t])*(?::\s*(?:str|string|String|&str)\s*)?(?:[ \t]*(?::=|=>|=|:|,|\()(?:[ \t]*|\s*(?=[\"'`(]))|[ \t]+is[ \t]+|[ \t]+)(?:\(\s*)?(?:new\s+\w+\(|String\.valueOf\(|b|r|u|f)?\\?(?P<q>[\"'`])(?P<v>[^\"'`\n]{3,120})", "quoted_password"),
-    Rule("password_plain", r"(?i)(?P<n>(?:" + PASSWORD + r")[\w-]{0,20})[ \t]*(?:=|:|\bis\b)[ \t]*(?P<v>[^\s\"'`,;(){}\[\]<>]{4,120})", "plain_password"),
-    Rule("password_element", r"(?i)(?:name|key)\s*[=:]\s*[\"']?[\w.-]{0,40}(?:" + PASSWORD + r")[\w.-]{0,20}[\"']?\s*(?:>|/?>?\s*\n?\s*,?\s*[\"']?value[\"']?\s*[=:]\s*[\"']?)(?P<v>[^\"'<\n]{4,120})", "quoted_password"),
-    Rule("password_tag", r"(?i)(?<!:)<(?:[\w.-]{0,30}(?:" + PASSWORD + r")[\w.-]{0,20})>(?P<v>[^<\n]{4,120})", "quoted_password"),
-    Rule("key_name", r"(?i)(?P<n>(?:" + KEYLIKE + r"|key)[\w-]{0,20})(?:\\?[\"'`]|\]|[ \t])*(?::\s*(?:str|string|String|&str)\s*)?(?:[ \t]*(?::=|=>|=|:|,|\()(?:[ \t]*|\s*(?=[\"'`(]))|[ \t]+is[ \t]+|[ \t]+)(?:\(\s*)?(?:\\?[\"'`])?(?P<v>[A-Za-z0-9+/=_.~!$%^*-]{12,400})", "named_token"),
-    Rule("key_element", r"(?i)(?:name|key)\s*[=:]\s*[\"']?(?P<n>[\w.-]{0,40}(?:" + KEYLIKE + r"|key)[\w.-]{0,20})[\"']?\s*(?:>|/?>?\s*\n?\s*,?\s*[\"']?value[\"']?\s*[=:]\s*[\"']?)(?P<v>[A-Za-z0-9+/=_.~-]{12,400})", "named_token"),
-    Rule("key_tag", r"(?i)<(?P<n>[\w.-]{0,30}(?:" + KEYLIKE + r"|key)[\w.-]{0,20})>(?P<v>[A-Za-z0-9+/=_.~-]{12,400})", "named_token"),
-    Rule("positional", r"(?i)(?:(?:login|sign|auth\w*|connect|authenticate|with\w*|set\w*|token|client|credentials?|verify|encrypt|decrypt|hmac\w*|return|yield)\s*\(?|\[)\s*(?:[\"'`][\w.@-]{0,30}[\"'`]\s*,\s*)?[\"'`](?P<v>[A-Za-z0-9+/=_-]{16,200})[\"'`]", "free_token"),
+    Rule("password_name", r"(?i)(?P<n>(?:" + PASSWORD + r")[\w-]{0,20})(?:\\?[\"'`]|\]|[ \t])*(?::\s*(?:str|string|String|&str)\s*)?(?:[ \t]*(?::=|=>|=|:|,|\()(?:[ \t]*|\s*(?=[\"'`(]))|[ \t]+is[ \t]+|[ \t]+)(?:\(\s*)?(?:new\s+\w+\(|String\.valueOf\(|b|r|u|f)?\\?(?P<q>[\"'`])(?P<v>[^\"'`\n]{3,})", "quoted_password"),
+    Rule("password_plain", r"(?i)(?P<n>(?:" + PASSWORD + r")[\w-]{0,20})[ \t]*(?:=|:|\bis\b)[ \t]*(?P<v>[^\s\"'`,;(){}\[\]<>]{4,})", "plain_password"),
+    Rule("password_element", r"(?i)(?:name|key)\s*[=:]\s*[\"']?[\w.-]{0,40}(?:" + PASSWORD + r")[\w.-]{0,20}[\"']?\s*(?:>|/?>?\s*\n?\s*,?\s*[\"']?value[\"']?\s*[=:]\s*[\"']?)(?P<v>[^\"'<\n]{4,})", "quoted_password"),
+    Rule("password_tag", r"(?i)(?<!:)<(?:[\w.-]{0,30}(?:" + PASSWORD + r")[\w.-]{0,20})>(?P<v>[^<\n]{4,})", "quoted_password"),
+    Rule("key_name", r"(?i)(?P<n>(?:" + KEYLIKE + r"|key)[\w-]{0,20})(?:\\?[\"'`]|\]|[ \t])*(?::\s*(?:str|string|String|&str)\s*)?(?:[ \t]*(?::=|=>|=|:|,|\()(?:[ \t]*|\s*(?=[\"'`(]))|[ \t]+is[ \t]+|[ \t]+)(?:\(\s*)?(?:\\?[\"'`])?(?P<v>[A-Za-z0-9+/=_.~!$%^*-]{12,})", "named_token"),
+    Rule("key_element", r"(?i)(?:name|key)\s*[=:]\s*[\"']?(?P<n>[\w.-]{0,40}(?:" + KEYLIKE + r"|key)[\w.-]{0,20})[\"']?\s*(?:>|/?>?\s*\n?\s*,?\s*[\"']?value[\"']?\s*[=:]\s*[\"']?)(?P<v>[A-Za-z0-9+/=_.~-]{12,})", "named_token"),
+    Rule("key_tag", r"(?i)<(?P<n>[\w.-]{0,30}(?:" + KEYLIKE + r"|key)[\w.-]{0,20})>(?P<v>[A-Za-z0-9+/=_.~-]{12,})", "named_token"),
+    Rule("positional", r"(?i)(?:(?:login|sign|auth\w*|connect|authenticate|with\w*|set\w*|token|client|credentials?|verify|encrypt|decrypt|hmac\w*|return|yield)\s*\(?|\[)\s*(?:[\"'`][\w.@-]{0,30}[\"'`]\s*,\s*)?[\"'`](?P<v>[A-Za-z0-9+/=_-]{16,})[\"'`]", "free_token", r"[\"'`][A-Za-z0-9+/=_-]{16,}[\"'`]"),
 )
 
 # Names whose value is no credential although they hold such a word.
@@ -91,7 +95,9 @@ REFERENCE = re.compile(
 )
 UUID = re.compile(r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
 HEX = re.compile(r"^(?:0x)?[0-9a-fA-F]+$")
-MEDIA = re.compile(r"(?i)(?:data:[\w/+.-]*;base64,|sha(?:1|256|384|512)-|ssh-(?:rsa|ed25519|dss)\s+|ecdsa-\S+\s+|-----BEGIN (?:RSA )?(?:PUBLIC KEY|CERTIFICATE)-----\s*)[A-Za-z0-9+/=\s\\]*$")
+# What stands before embedded media, digests and public keys, and what these do not hold.
+MEDIA = re.compile(r"(?i)data:[\w/+.-]*;base64,|sha(?:1|256|384|512)-|ssh-(?:rsa|ed25519|dss)\s+|ecdsa-\S+\s+|-----BEGIN (?:RSA )?(?:PUBLIC KEY|CERTIFICATE)-----\s*")
+OTHER = re.compile(r"[^A-Za-z0-9+/=\s\\]")
 
 
 def entropy(s: str) -> float:
@@ -137,8 +143,19 @@ def _decoded(v: str) -> str:
         return ""
 
 
-def _before(text: str, at: int) -> str:
-    return text[max(0, at - 3000) : at]
+def _media(text: str, at: int) -> bool:
+    """Whether the run of letters in which place `at` lies, however long, is that of embedded media, a digest or a public key."""
+    size, start = 256, 0
+    while True:
+        low = max(0, at - size)
+        last = None
+        for last in OTHER.finditer(text, low, at):
+            pass
+        if last or not low:
+            start = last.end() if last else 0
+            break
+        size *= 8
+    return any(m.end() >= start for m in MEDIA.finditer(text, max(0, start - 200), min(at, start + 60)))
 
 
 def grants(kind: str, m: re.Match) -> bool:
@@ -151,7 +168,7 @@ def grants(kind: str, m: re.Match) -> bool:
         return not _masked(v) and entropy(v) > 2.5
     if kind == "encoded_key":
         return "PRIVATE" in _decoded(v[: len(v) // 4 * 4][:80])
-    if MEDIA.search(_before(text, m.start("v"))):
+    if _media(text, m.start("v")):
         return False
     if kind == "known":  # the form says what it is
         return not _masked(v) and entropy(v) > 2.5
@@ -194,7 +211,7 @@ JOINS = re.compile(r"(?:\"\"|''|``)\.join\(|\.join\((?:\"\"|''|``)\)|strings\.Jo
 OPENS = re.compile(r"(?:(?:\"\"|''|``)\.join\(\s*|strings\.Join\(\s*|String\.join\(\s*\"\",\s*|implode\(\s*(?:\"\"|'')\s*,\s*)?(?:\[\]string\s*)?[\[{(]?\s*\Z")
 
 
-def joined(text: str) -> tuple[str, list[int] | None]:
+def joined(text: str) -> tuple[str, np.ndarray | None]:
     """`text` with literals in pieces made whole, and the old place of every character (None: nothing changed)."""
     cuts = [m.span() for m in PIECES.finditer(text)]
     if JOINS.search(text):
@@ -204,48 +221,43 @@ def joined(text: str) -> tuple[str, list[int] | None]:
             cuts += [(m.start("l") + b.start(), m.start("l") + b.end()) for b in BETWEEN.finditer(m["l"])]
     if not cuts:
         return text, None
-    places, at = [], 0
-    for start, end in sorted(set(cuts)):
+    kept, places, at = [], [], 0
+    for start, end in [*sorted(set(cuts)), (len(text), len(text))]:
         if start >= at:
-            places += range(at, start)
+            kept.append(text[at:start])
+            places.append(np.arange(at, start))
             at = end
-    places += range(at, len(text))
-    return "".join([text[p] for p in places]), places
-
-
-def chunks(text: str) -> Iterator[tuple[int, str]]:
-    """(offset, chunk): the whole of `text`, in overlapping pieces where it is long."""
-    step = CHUNK - OVERLAP
-    for start in range(0, max(1, len(text) - OVERLAP), step):
-        yield start, text[start : start + CHUNK]
+    return "".join(kept), np.concatenate(places)
 
 
 class Scanner:
     """The compiled rules and their trigram conditions."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
-        self.rules = [(r, re.compile(r.pattern), trigrams.required(r.pattern)) for r in rules]
+        self.rules = [(r, re.compile(r.pattern), re.compile(r.part) if r.part else None, trigrams.required(r.pattern)) for r in rules]
+        self.asked = frozenset().union(*(trigrams.asked(c) for *_, c in self.rules))
 
     def scan(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """Of each text the (start, end, rule) of every credential, in the text as it is written."""
-        parts: list[tuple[int, int, str, list[int] | None]] = []
+        parts: list[tuple[int, str, np.ndarray | None]] = []
         for row, text in enumerate(texts):
-            for offset, chunk in chunks(text):
-                parts.append((row, offset, chunk, None))
-                whole, places = joined(chunk)
-                if places is not None:  # what looks like pieces may be two values, so both readings count
-                    parts.append((row, offset, whole, places))
-        index = trigrams.Index([p[2] for p in parts])
+            parts.append((row, text, None))
+            whole, places = joined(text)
+            if places is not None:  # what looks like pieces may be two values, so both readings count
+                parts.append((row, whole, places))
+        index = trigrams.Index([p[1] for p in parts], CHUNK, self.asked)
         found: list[set[tuple[int, int, str]]] = [set() for _ in texts]
-        for rule, regex, condition in self.rules:
+        for rule, regex, part, condition in self.rules:
             for at in index.candidates(condition):
-                row, offset, chunk, places = parts[at]
-                for m in regex.finditer(chunk):
+                row, text, places = parts[at]
+                if part is not None and not part.search(text):
+                    continue
+                for m in regex.finditer(text):
                     if grants(rule.kind, m):
                         start, end = m.span("v")
-                        if places:
-                            start, end = places[start], places[end - 1] + 1
-                        found[row].add((offset + start, offset + end, rule.name))
+                        if places is not None:
+                            start, end = int(places[start]), int(places[end - 1]) + 1
+                        found[row].add((start, end, rule.name))
         return [sorted(f) for f in found]
 
 

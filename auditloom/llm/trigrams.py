@@ -1,7 +1,7 @@
 """Trigram search: what a regex requires, and an index of a block of texts.
 
 `required` reads the syntax tree of a regex and gives an AND/OR condition on trigrams (lower-cased) that every match must
-fulfil. `Index` holds, for a block of texts, the sorted postings of every trigram; `candidates` intersects and unites them.
+fulfil. `Index` holds, for a block of texts in chunks, the sorted postings of every trigram; `candidates` intersects and unites them.
 """
 
 from __future__ import annotations
@@ -114,24 +114,61 @@ def _codes(text: str) -> np.ndarray:
     return (points[:-2] << np.uint64(42)) | (points[1:-1] << np.uint64(21)) | points[2:] if len(points) > 2 else np.empty(0, np.uint64)
 
 
+def _short(codes: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64)
+
+
+def asked(condition: tuple) -> frozenset[str]:
+    """The trigrams that a condition names."""
+    if condition == ALL:
+        return frozenset()
+    return frozenset([condition[1]]) if condition[0] == "tri" else frozenset().union(*map(asked, condition[1]))
+
+
 class Index:
-    """The postings of all trigrams of a block of texts."""
+    """The postings of the trigrams of a block of texts, by chunks of `chunk` characters; a trigram across a joint belongs to the first.
+
+    `only` names the trigrams that are ever asked for; without it all are kept.
+    """
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], chunk: int = 20_000, only: frozenset[str] | None = None):
         self.size = len(texts)
         joined = "\0\0".join(t.lower() if len(t.lower()) == len(t) else "".join(c if len(c.lower()) > 1 else c.lower() for c in t) for t in texts)
         codes = _codes(joined)
-        ends = np.cumsum([len(t) + 2 for t in texts]) if texts else np.empty(0, np.int64)
-        rows = np.searchsorted(ends, np.arange(len(codes)), side="right").astype(np.uint64)
-        order = np.argsort(codes, kind="stable")
-        self.codes, self.rows = codes[order], rows[order].astype(np.int64)
+        lengths = np.array([len(t) + 2 for t in texts], np.int64)
+        starts = np.cumsum(lengths) - lengths
+        pieces = -(-lengths // chunk)  # chunks of each text
+        self.text = np.repeat(np.arange(self.size), pieces)  # of each chunk
+        begins = np.repeat(starts, pieces) + chunk * (np.arange(len(self.text)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        chunks = np.repeat(np.arange(len(self.text)), np.diff(np.append(begins, len(codes)).clip(max=len(codes))))
+        if only is None:
+            distinct, codes = np.unique(codes, return_inverse=True, sorted=True)
+        else:
+            distinct = np.sort(np.array([_codes(t)[0] for t in only], np.uint64))
+            table = np.zeros(1 << 16, bool)  # what cannot be one of them goes by a hash
+            table[_short(distinct)] = True
+            kept = np.flatnonzero(table[_short(codes)])
+            at = np.searchsorted(distinct, codes[kept]).clip(max=max(0, len(distinct) - 1))
+            true = distinct[at] == codes[kept] if len(distinct) else np.zeros(0, bool)
+            codes, chunks = at[true], chunks[kept[true]]
+        # each trigram of a chunk once, in order
+        key = np.sort(codes.astype(np.int64) * max(1, len(self.text)) + chunks)
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
+        self.codes, self.chunks = distinct, key % max(1, len(self.text))
+        self.ends = np.searchsorted(key, np.arange(len(distinct) + 1, dtype=np.int64) * max(1, len(self.text)))
 
     def posting(self, trigram: str) -> np.ndarray:
+        """The texts in one of whose chunks the trigram lies, ascending."""
         code = _codes(trigram)[0]
-        return np.unique(self.rows[np.searchsorted(self.codes, code, "left") : np.searchsorted(self.codes, code, "right")])
+        at = int(np.searchsorted(self.codes, code))
+        if at == len(self.codes) or self.codes[at] != code:
+            return np.empty(0, np.int64)
+        texts = self.text[self.chunks[self.ends[at] : self.ends[at + 1]]]
+        return texts[np.concatenate([[True], texts[1:] != texts[:-1]])] if len(texts) else texts
 
     def candidates(self, condition: tuple) -> np.ndarray:
-        """The rows that fulfil `condition`, ascending."""
+        """The texts that fulfil `condition`, ascending."""
         if condition == ALL:
             return np.arange(self.size)
         kind, value = condition
