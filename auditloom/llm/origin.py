@@ -11,7 +11,7 @@ its files, against a seed too:
 A family of one decides for itself. Copies of packages have the shapes of any code, so masked families cannot tell them;
 they are known by a place or a licence of a package in a comment line, or as one text in several repositories.
 
-Similarity is that of the whole sets, each shingle by 48 bits of its hash. Within a bucket only pairs that are linked already,
+Similarity is that of the whole sets, each shingle by 40 bits of its hash. Within a bucket only pairs that are linked already,
 directly or through others, and pairs of sizes that rule 0.8 out are left uncompared, as neither can change a family. Buckets
 of more than `BLOCK` classes are compared block by block, so that a task holds two blocks. What no bucket brings together
 (a pair at 0.8 with a chance of one in seventy) is not compared.
@@ -36,7 +36,7 @@ from auditloom.session import cut, spread
 
 SHINGLE = 5
 SIMILAR = 0.8
-WIDTH = 6  # bytes a shingle
+WIDTH = 5  # bytes a shingle
 BLOCK = 2048  # classes of a bucket that are held at once, twice
 BANDS, ROWS = 8, 4
 PREVAIL = 0.3  # share of a family with a generator's marks from which all of it is generated
@@ -100,18 +100,13 @@ def notes(text: str) -> str:
 
 
 def tokens_of(body: str) -> tuple[list[str], int]:
-    """(tokens, letters in strings); a long string is one token of text, or a literal for each of its lines that hold data."""
-    tokens: list[str] = []
-    letters = 0
-    for t in TOKEN.findall(body):
-        if len(t) > 5 and t[:3] in ('"""', "'''"):
-            dense = [line for line in t[3:-3].split("\n") if len(line) >= DENSE and " " not in line.strip()]
+    """(tokens, letters of data in long strings); a long string is one token of text, or a literal for each of its lines that hold data."""
+    tokens, letters = TOKEN.findall(body), 0
+    if '"""' in body or "'''" in body:
+        for at in reversed([i for i, t in enumerate(tokens) if len(t) > 5 and t[:3] in ('"""', "'''")]):
+            dense = [line for line in tokens[at][3:-3].split("\n") if len(line) >= DENSE and " " not in line.strip()]
             letters += sum(map(len, dense))
-            tokens += ['""'] * len(dense) or ["§"]
-        else:
-            if t[0] in "\"'`":
-                letters += len(t)
-            tokens.append(t)
+            tokens[at : at + 1] = ['""'] * len(dense) or ["§"]
     return tokens, letters
 
 
@@ -126,7 +121,9 @@ def measure(text: str, path: str, mask: _Mask) -> tuple:
     codes = np.fromiter(map(mask.__getitem__, tokens), np.uint64, n)
     data = minified = False
     if n:
-        literal = np.count_nonzero((codes == 2) | (codes == 3)) / n
+        strings = np.flatnonzero(codes == 3)
+        literal = (np.count_nonzero(codes == 2) + len(strings)) / n
+        letters += sum([len(tokens[i]) for i in strings.tolist()])
         data = n >= 20 and literal >= 0.35 or len(body) >= 400 and letters / len(body) >= 0.7
         if not data and n >= 50 and sum(map(body.count, " \t\n")) / len(body) < 0.08:
             names = [len(t) for t in tokens if (t[0].isalpha() or t[0] in "_$") and t not in WORDS]
@@ -139,7 +136,7 @@ def measure(text: str, path: str, mask: _Mask) -> tuple:
         distinct = mixed[np.concatenate([[True], mixed[1:] != mixed[:-1]])]
         least = (distinct[:, None] * FACTORS[None, :] >> np.uint64(11)).min(axis=0).reshape(BANDS, ROWS)
         bands = (least * FACTORS[:ROWS]).sum(axis=1) ^ (np.arange(BANDS, dtype=np.uint64) * MIX)
-    packed = np.ascontiguousarray((distinct >> np.uint64(15)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
+    packed = np.ascontiguousarray((distinct >> np.uint64(63 - 8 * WIDTH)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
     return generated, vendored, data, minified, _id(packed, 8), packed, bands.view(np.int64).tolist()
 
 

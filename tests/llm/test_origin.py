@@ -124,7 +124,7 @@ def test_similarity_is_exact(spark):
     rng = random.Random(4)
     sets, bands = [], []
     for i in range(80):  # 250 shingles, pairs at 0.8 exactly or one shingle below
-        both = set(rng.sample(range(1 << 47), 250))
+        both = set(rng.sample(range(1 << 39), 250))
         sets += [both, set(sorted(both, key=lambda x: rng.random())[: 200 - i % 2])]
         bands += [[i], [i]]
     found = {r["class"]: r.family for r in origin.families(sets_of(spark, sets, bands)).collect()}
