@@ -27,7 +27,7 @@ def run(spark: SparkSession, path: str, out: str) -> dict:
         commits = scan.history_secrets(history.described(log), "diff")
         branches = spark.read.format("gitlog").option("what", "branches").load(str(source))
     files = files.cache()
-    row = report.audit(files, commits, branches, F.current_timestamp()).first()
+    row = report.audit(files, commits, branches, F.current_timestamp(), directories).first()
     if row is None:
         raise ValueError("no files")
     one = spark.createDataFrame([row])

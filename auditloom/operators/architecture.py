@@ -65,8 +65,8 @@ def language_of(ext: Column) -> Column:
 
 
 def languages(files: DataFrame) -> DataFrame:
-    """(repo, language, file_count, percentage), of files with a known suffix."""
-    counted = files.withColumn("language", language_of(F.col("ext"))).where("language is not null").groupBy("repo", "language").agg(F.count("*").alias("file_count"))
+    """(repo, language, file_count, percentage), of files with a known suffix, each once."""
+    counted = files.select("repo", "path", language_of(F.col("ext")).alias("language")).where("language is not null").distinct().groupBy("repo", "language").agg(F.count("*").alias("file_count"))
     share = F.col("file_count") * 100 / F.sum("file_count").over(Window.partitionBy("repo"))
     return counted.select("repo", "language", "file_count", F.round(share, 1).alias("percentage"))
 
@@ -132,7 +132,8 @@ def project_type(files: DataFrame, empty: DataFrame | None = None, sources: int
     ext = F.lower("ext")
     sampled = lambda most: known if most is None else first_files(known, most)
     first = sampled(suffixes).groupBy("repo").agg(F.max(ext == ".dart").alias("dart"), F.max(ext.isin(".cs", ".xaml")).alias("cs"))
-    cli = sampled(sources).groupBy("repo").agg(F.count_if(_contains(F.col("content"), CLI_WORDS)).alias("cli"))
+    spoken = sampled(sources).select("repo", "path", _contains(F.col("content"), CLI_WORDS).alias("cli")).distinct()
+    cli = spoken.groupBy("repo").agg(F.count_if("cli").alias("cli"))
     rows = roots.join(top, "repo", "left").join(first, "repo", "left").join(cli, "repo", "left")
     no = F.expr("cast(array() as array<string>)")
     d = lambda *names: F.arrays_overlap(F.coalesce("dirs", no), F.array(*map(F.lit, names)))

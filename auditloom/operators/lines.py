@@ -24,8 +24,9 @@ def _starts(c: Column, prefixes) -> Column:
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """(repo, path, line_no, line), line numbers from 1."""
-    return files.select("repo", "path", F.posexplode(line_array(F.col("content"))).alias("at", "line")).select("repo", "path", (F.col("at") + 1).alias("line_no"), "line")
+    """(repo, path, line_no, line), line numbers from 1; the lines of repeated files once."""
+    each = files.select("repo", "path", F.posexplode(line_array(F.col("content"))).alias("at", "line"))
+    return each.dropDuplicates(["repo", "path", "at"]).select("repo", "path", (F.col("at") + 1).alias("line_no"), "line")
 
 
 def is_code(line: Column) -> Column:
@@ -39,8 +40,8 @@ def code_lines(content: Column) -> Column:
 
 
 def loc_per_file(files: DataFrame) -> DataFrame:
-    """(repo, path, loc); a null content has 0."""
-    return files.select("repo", "path", F.coalesce(code_lines(F.col("content")), F.lit(0)).alias("loc"))
+    """(repo, path, loc) of each file once; a null content has 0."""
+    return files.select("repo", "path", F.coalesce(code_lines(F.col("content")), F.lit(0)).alias("loc")).distinct()
 
 
 def project_loc(files: DataFrame) -> DataFrame:
@@ -49,28 +50,34 @@ def project_loc(files: DataFrame) -> DataFrame:
 
 
 def first_files(files: DataFrame, most: int) -> DataFrame:
-    """The first `most` files of each repository by path; a feature of several reports, not a guard."""
+    """The first `most` files of each repository by path; a feature of several reports, not a guard.
+
+    The paths alone are ranked; the texts meet them by (repo, path).
+    """
     order = Window.partitionBy("repo").orderBy("path")
-    return files.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth")
+    first = files.select("repo", "path").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth")
+    return files.join(first, ["repo", "path"], "left_semi")
 
 
 def duplication(files: DataFrame, most: int | None = None) -> DataFrame:
     """(repo, lines, duplicated, percent) over the counted lines of all files, or of the first `most`.
 
-    A line counts if it has ten characters or more and is no comment or import. Equal lines are summed before they meet,
-    so a line that makes up most of a repository costs one row a task.
+    A line counts if it has ten characters or more and is no comment or import. Lines are known by 96 bits of their hashes and
+    their length, so that no text is shuffled. Repeated files count once. Equal lines of a file are summed within it and then
+    before they meet, so a line that makes up most of a repository costs one row a task.
     """
     sampled = files if most is None else first_files(files, most)
-    bare = lines(sampled).select("repo", strip(F.col("line")).alias("line"))
-    counted = bare.where((F.length("line") >= 10) & ~_starts(F.col("line"), NO_DUPLICATE))
-    once = counted.groupBy("repo", "line").agg(F.count("*").alias("n"))
+    bare = F.filter(F.transform(line_array(F.col("content")), strip), lambda l: (F.length(l) >= 10) & ~_starts(l, NO_DUPLICATE))
+    marks = F.transform(bare, lambda l: F.struct(F.xxhash64(l).alias("h"), F.crc32(l.cast("binary")).alias("c"), F.length(l).alias("n")))
+    each = sampled.select("repo", "path", F.posexplode(marks).alias("at", "line")).groupBy("repo", "path", "at").agg(F.first("line").alias("line"))
+    once = each.groupBy("repo", "line").agg(F.count("*").alias("n"))
     total = once.groupBy("repo").agg(F.sum("n").alias("lines"), F.sum(F.col("n") - 1).alias("duplicated"))
     return total.withColumn("percent", F.round(F.col("duplicated") * 100 / F.col("lines"), 1))
 
 
 def large_files(files: DataFrame, least: int = 100_000, most: int | None = 20) -> DataFrame:
     """(repo, path, size_kb) of the files over `least` bytes, the largest `most` of each repository; ties by path."""
-    big = files.where(F.col("size") > least).select("repo", "path", "size")
+    big = files.where(F.col("size") > least).select("repo", "path", "size").distinct()
     if most is not None:
         order = Window.partitionBy("repo").orderBy(F.desc("size"), "path")
         big = big.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)
@@ -86,5 +93,7 @@ def heavy_media(files: DataFrame, least: int = 500_000, most: int | None = 20) -
     """(repo, path, size_kb, kind) of images and videos over `least` bytes, the largest `most` of each repository."""
     ext = F.lower("ext")
     kinds = files.withColumn("kind", F.when(ext.isin(IMAGES), "image").when(ext.isin(VIDEOS), "video")).where("kind is not null")
-    big = large_files(kinds, least, most)
-    return big.join(kinds.select("repo", "path", "kind").distinct(), ["repo", "path"])
+    big = kinds.where(F.col("size") > least).select("repo", "path", "size", "kind").distinct()
+    if most is not None:
+        big = big.withColumn("nth", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("size"), "path"))).where(F.col("nth") <= most)
+    return big.select("repo", "path", F.round(F.col("size") / 1024, 1).alias("size_kb"), "kind")

@@ -75,27 +75,33 @@ def maintainability(loc: Column, complexity: Column) -> Column:
     return F.when(loc == 0, F.lit(100.0)).otherwise(F.round(F.least(F.lit(100.0), F.greatest(F.lit(0.0), raw)), 1))
 
 
-def trees(files: DataFrame) -> DataFrame:
-    """(repo, path, complexity, unused, large): of Python files by their tree, of scripts their large functions."""
-    schema = "repo string, path string, complexity double, unused int, large array<struct<kind:string,name:string,line:int,lines:int>>"
+def is_source(most_bytes: int | None = MOST_BYTES) -> Column:
+    """Whether a file is measured: by suffix and, unless that is None, up to `most_bytes`."""
+    kept = F.lower("ext").isin(SOURCES) & F.col("content").isNotNull()
+    return kept if most_bytes is None else kept & (F.col("size") < most_bytes)
+
+
+def file_metrics(files: DataFrame, most_bytes: int | None = MOST_BYTES) -> DataFrame:
+    """(repo, path, loc, complexity, maintainability, unused, large, issues): the metrics of every source file, each once.
+
+    One pass over the texts: lines and branches by JVM expressions, trees in the Arrow pass that follows; only the metrics are
+    shuffled to drop repeated files. `most_bytes` (None: all) is the size from which files are not measured.
+    """
+    sources = files.where(is_source(most_bytes))
+    text = F.when(F.col("ext").isin(".py", *SCRIPTS), F.col("content"))
+    counted = sources.select("repo", "path", "ext", code_lines(F.col("content")).alias("loc"), F.when(F.col("ext").isin(*SCRIPTS), script_complexity(F.col("content"))).alias("script"), text.alias("content"))
+    schema = "repo string, path string, loc int, script double, tree double, unused int, large array<struct<kind:string,name:string,line:int,lines:int>>"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("line", pa.int32()), ("lines", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [python_metrics(text or "") if ext == ".py" else (None, 0, script_functions(text or "")) for ext, text in zip(batch.column("ext").to_pylist(), batch.column("content").to_pylist())]
+            rows = [python_metrics(text or "") if ext == ".py" else (None, 0, script_functions(text) if text else []) for ext, text in zip(batch.column("ext").to_pylist(), batch.column("content").to_pylist())]
             c, u, large = zip(*rows) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("repo"), batch.column("path"), pa.array(c, pa.float64()), pa.array(u, pa.int32()), pa.array(large, kind)], ["repo", "path", "complexity", "unused", "large"])
+            kept = [batch.column(n) for n in ("repo", "path", "loc", "script")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(c, pa.float64()), pa.array(u, pa.int32()), pa.array(large, kind)], ["repo", "path", "loc", "script", "tree", "unused", "large"])
 
-    return files.where(F.col("ext").isin(".py", *SCRIPTS)).select("repo", "path", "ext", "content").mapInArrow(run, schema)
-
-
-def file_metrics(files: DataFrame, most_bytes: int | None = MOST_BYTES) -> DataFrame:
-    """(repo, path, loc, complexity, maintainability, unused, large, issues): the metrics of every source file."""
-    sources = files.where(F.lower("ext").isin(SOURCES) & F.col("content").isNotNull())
-    sources = sources if most_bytes is None else sources.where(F.col("size") < most_bytes)
-    by_tree = trees(sources).dropDuplicates(["repo", "path"])
-    known = sources.dropDuplicates(["repo", "path"]).select("repo", "path", code_lines(F.col("content")).alias("loc"), F.when(F.col("ext").isin(*SCRIPTS), script_complexity(F.col("content"))).alias("script")).join(by_tree, ["repo", "path"], "left")
-    complexity = F.coalesce("script", "complexity", F.lit(0.0))
+    known = counted.mapInArrow(run, schema).dropDuplicates(["repo", "path"])
+    complexity = F.coalesce("script", "tree", F.lit(0.0))
     unused = F.coalesce("unused", F.lit(0))
     issues = F.array_compact(F.array(F.when(unused > 0, F.concat(unused.cast("string"), F.lit(" unused import(s)"))), F.when(F.col("loc") > LARGE_FILE, F.concat(F.lit("Large file ("), F.col("loc").cast("string"), F.lit(" lines of code)")))))
     return known.select("repo", "path", "loc", complexity.alias("complexity"), maintainability(F.col("loc"), complexity).alias("maintainability"), unused.alias("unused"), "large", issues.alias("issues"))

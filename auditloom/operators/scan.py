@@ -7,6 +7,8 @@ rule finds a line once, however often it matches; repeated files give their find
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,13 +20,18 @@ MOST_CHARACTERS = 500_000  # longer files are no source; an option of every scan
 BINARY = ".png .jpg .jpeg .gif .svg .ico .woff .woff2 .ttf .eot .pdf .zip .tar .gz .jar .exe .dll .so .dylib".split()
 
 
+def is_scanned(most: int | None = MOST_CHARACTERS, skipped=BINARY) -> Column:
+    """Whether a scan reads a file: by suffix, without minified names, up to `most` characters (None: any length)."""
+    kept = F.col("content").isNotNull() & ~F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(list(skipped)) & ~F.col("path").rlike(r"\.min\.[^/]*$")
+    return kept if most is None else kept & (F.length("content") <= most)
+
+
 def scannable(files: DataFrame, most: int | None = MOST_CHARACTERS, skipped=BINARY) -> DataFrame:
-    """The files that a scan reads: by suffix, without minified names, up to `most` characters."""
-    kept = files.where(F.col("content").isNotNull() & ~F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(list(skipped)) & ~F.col("path").rlike(r"\.min\.[^/]*$"))
-    return kept if most is None else kept.where(F.length("content") <= most)
+    """The files that a scan reads."""
+    return files.where(is_scanned(most, skipped))
 
 
-def _hits(line: Column, catalogue: list[R.Rule]) -> Column:
+def hits(line: Column, catalogue: list[R.Rule]) -> Column:
     """The places of the rules that find something in a line."""
     return F.array_compact(F.array(*(F.when(matches_any(line, r.patterns), F.lit(r.place)) for r in catalogue)))
 
@@ -37,7 +44,7 @@ def scan(files: DataFrame, catalogue: list[R.Rule]) -> DataFrame:
     """
     table = {r.place: r for r in catalogue}
     rows = files.select("repo", "path", line_array(F.col("content")).alias("lines"))
-    found = rows.select("repo", "path", "lines", F.posexplode(F.transform("lines", lambda l: _hits(l, catalogue))).alias("at", "hits")).where(F.size("hits") > 0)
+    found = rows.select("repo", "path", "lines", F.posexplode(F.transform("lines", lambda l: hits(l, catalogue))).alias("at", "hits")).where(F.size("hits") > 0)
     context = F.array_join(F.slice("lines", F.greatest(F.col("at"), F.lit(1)), F.when(F.col("at") == 0, 2).otherwise(3)), "\n")
     each = found.select("repo", "path", (F.col("at") + 1).alias("line_no"), context.alias("context"), F.explode("hits").alias("rule"))
     of = lambda get: F.element_at(F.create_map(*(F.lit(x) for r in table.values() for x in (r.place, get(r)))), F.col("rule"))
@@ -65,7 +72,7 @@ def performance_wide(files: DataFrame) -> DataFrame:
     The matches of a regex follow each other without overlap. Dots do not cross lines; an invalid regex of the catalogue is
     left out, as in the line scan.
     """
-    live = [R.Rule(r.place, r.kind, r.severity, r.cwe, tuple(p for p in r.patterns if R._compiles(p))) for r in R.WIDE_PERFORMANCE_RULES]
+    live = [replace(r, patterns=tuple(p for p in r.patterns if R._compiles(p))) for r in R.WIDE_PERFORMANCE_RULES]
     text = F.translate(F.regexp_replace("content", r"\r\n?", "\n"), MARK, "\ufffe")
     starts = [F.when(F.col("text").rlike(p), F.transform(_lines_of(F.col("text"), p), _struct(r))).otherwise(F.expr(f"cast(array() as array<{FOUND}>)")) for r in live for p in r.patterns]
     rows = files.where("content is not null").select("repo", "path", text.alias("text"))
@@ -90,10 +97,10 @@ def _struct(rule: R.Rule):
     return made
 
 
-def with_advice(findings: DataFrame) -> DataFrame:
-    """The findings with what their type means and what to do; the catalogue is a small literal table."""
-    advice = findings.sparkSession.createDataFrame(R.ADVICE_ROWS, "rule_type string, description string, recommendation string").dropDuplicates(["rule_type"])
-    return findings.join(F.broadcast(advice), "rule_type", "left")  # at most one row a rule
+def with_advice(findings: DataFrame, catalogue: list[R.Rule]) -> DataFrame:
+    """The findings of a catalogue with what their rule means and what to do; by the rule's place, as types may repeat."""
+    of = lambda get: F.element_at(F.create_map(*(F.lit(x) for r in catalogue for x in (r.place, get(r)))), F.col("rule"))
+    return findings.select("*", of(lambda r: r.meaning).alias("description"), of(lambda r: r.advice).alias("recommendation"))
 
 
 def by_severity(findings: DataFrame) -> DataFrame:

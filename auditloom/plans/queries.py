@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +32,12 @@ def query(sql: str | None = None):
 
 
 def code(spark: SparkSession, d: str) -> DataFrame:
-    """The source files, each once."""
-    return table(spark, d, "source_files").select("repo", F.col("file_path").alias("path"), "name", "ext", "size", "content").distinct()
+    """The source files as delivered; operators drop repeated rows after their pass over the texts, so that no text is shuffled."""
+    return table(spark, d, "source_files").select("repo", F.col("file_path").alias("path"), "name", "ext", "size", "content")
 
 
 def _snippets(df: DataFrame, column: str) -> DataFrame:
-    return df.select("repo", F.concat("file_path", F.lit("#"), F.col("finding_id").cast("string")).alias("path"), F.col(column).alias("content")).distinct()
+    return df.select("repo", F.concat("file_path", F.lit("#"), F.col("finding_id").cast("string")).alias("path"), F.col(column).alias("content"))
 
 
 def contexts(spark, d):
@@ -94,9 +95,16 @@ def performance_scan_wide(spark, d):
     return scan.performance_wide(code(spark, d))
 
 
-@query()
+@query(S.advised())
 def findings_with_advice(spark, d):
-    return scan.with_advice(scan.vulnerabilities(snippets(spark, d))).select("repo", "path", "line_no", "rule_type", "description", "recommendation")
+    """The findings of all three scanners with what they mean and what to do."""
+    slow = table(spark, d, "vulnerability_findings").select("repo", "finding_id", "file_path", F.expr(S.SEEDED).alias("seeded"))
+    parts = [
+        scan.with_advice(scan.secrets(contexts(spark, d)), R.SECRET_RULES),
+        scan.with_advice(scan.vulnerabilities(snippets(spark, d)), R.VULNERABILITY_RULES),
+        scan.with_advice(scan.performance(_snippets(slow, "seeded")), R.PERFORMANCE_RULES),
+    ]
+    return reduce(DataFrame.unionByName, parts).select("repo", "path", "line_no", "rule_type", "description", "recommendation")
 
 
 @query(f"with f as ({S.findings(S.CONTEXTS, R.SECRET_RULES)}) select repo, list(path order by path, line_no, rule) as paths from f where regexp_matches(lower(rule_type), 'key|password') group by repo")
@@ -119,7 +127,7 @@ def certificate_files(spark, d):
 
 @query(f"with {S.CONTEXTS} select repo, path, coalesce({S.any_match('content', R.HISTORY_PATTERNS)}, false) as has_secret from code")
 def history_secrets(spark, d):
-    return scan.history_secrets(contexts(spark, d), "content").select("repo", "path", "has_secret")
+    return scan.history_secrets(contexts(spark, d), "content").select("repo", "path", "has_secret").distinct()
 
 
 @query(f"with {S.CODE}, {S.LINES} select repo, path, line_no, line from lines")
@@ -139,8 +147,7 @@ def project_loc(spark, d):
 
 @query(S.DUPLICATION)
 def duplication(spark, d):
-    """Of the first 100 files of each repository, as its SQL counterpart has it; the audit reads all files."""
-    return lines.duplication(code(spark, d), most=100)
+    return lines.duplication(code(spark, d))
 
 
 @query(f"with {S.CODE} select repo, path, round(size / 1024, 1) as size_kb from (select *, row_number() over (partition by repo order by size desc, path) as nth from code where size > 3000) where nth <= 20")
@@ -148,6 +155,13 @@ def large_files(spark, d):
     return lines.large_files(code(spark, d), least=3000)
 
 
+@query(f"with {S.CODE} select repo, path, round(size / 1024, 1) as size_kb, case when lower(ext) in ('.ts') then 'video' else 'image' end as kind from code where size > 3000 and lower(ext) in ('.js', '.ts')")
+def heavy_media(spark, d):
+    """Images and videos by size; suffixes stand in for those of media, as no table holds any."""
+    stood_in = F.when(F.lower("ext") == ".js", ".png").when(F.lower("ext") == ".ts", ".mp4")
+    return lines.heavy_media(code(spark, d).withColumn("ext", stood_in), least=3000, most=None)
+
+
 @query(S.LANGUAGES + " select repo, language, file_count, round(file_count * 100 / sum(file_count) over (partition by repo), 1) as percentage from counted")
 def languages(spark, d):
     return architecture.languages(code(spark, d))
@@ -174,13 +188,13 @@ def frameworks_by_manifest(spark, d):
     return architecture.frameworks(files)
 
 
-@query()
+@query(S.all_frameworks())
 def frameworks(spark, d):
     files = manifest_files(spark, d).withColumn("ext", F.lit(None).cast("string"))
     return architecture.frameworks(code(spark, d).select("repo", "path", "ext", "content").unionByName(files))
 
 
-@query()
+@query(S.kinds())
 def project_types(spark, d):
     return architecture.project_type(code(spark, d))
 
@@ -188,12 +202,12 @@ def project_types(spark, d):
 @query(S.LOC + f", {S.METRICS} select repo, path, complexity from metrics")
 def script_complexity(spark, d):
     scripts = code(spark, d).where(F.col("ext").isin(".js", ".ts") & F.col("content").isNotNull())
-    return scripts.select("repo", "path", quality.script_complexity(F.col("content")).alias("complexity"))
+    return scripts.select("repo", "path", quality.script_complexity(F.col("content")).alias("complexity")).distinct()
 
 
 def _script_metrics(spark, d):
     scripts = code(spark, d).where(F.col("ext").isin(".js", ".ts") & F.col("content").isNotNull())
-    return scripts.select("repo", "path", lines.code_lines(F.col("content")).alias("loc"), quality.script_complexity(F.col("content")).alias("complexity"))
+    return scripts.select("repo", "path", lines.code_lines(F.col("content")).alias("loc"), quality.script_complexity(F.col("content")).alias("complexity")).distinct()
 
 
 @query(S.LOC + f", {S.METRICS} select repo, path, {S.MAINTAINED} as maintainability from metrics")
@@ -273,7 +287,7 @@ def security_score(spark, d):
     a = scan.secrets(contexts(spark, d)).groupBy("repo").agg(F.count("*").alias("secrets"))
     b = scan.by_severity(scan.vulnerabilities(snippets(spark, d))).select("repo", "critical", "high", "medium")
     row = a.join(b, "repo", "full").fillna(0)
-    zero = ("languages", "total_loc", "layers", "frameworks", "complexity", "duplication", "large_units", "maintainability", "n_plus_one", "memory", "large_files", "dependencies", "outdated", "sensitive", "certificates")
+    zero = ("languages", "total_loc", "layers", "frameworks", "complexity", "duplication", "large_functions", "maintainability", "n_plus_one", "memory", "large_files", "dependencies", "outdated", "sensitive", "certificates", "blocking", "loops", "vulnerable", "deprecated")
     whole = row.select("*", *(F.lit(0).alias(n) for n in zero), F.lit(False).alias("has_readme"), F.lit(False).alias("has_docs"))
     return report.scores(whole).select("repo", F.col("score_security").alias("score"))
 
@@ -289,6 +303,16 @@ def priorities(spark, d):
     return report.priorities(audit(spark, d))
 
 
+@query()
+def recommendations(spark, d):
+    return report.recommendations(audit(spark, d))
+
+
+@query()
+def recommendation_summary(spark, d):
+    return report.recommendation_summary(recommendations(spark, d))
+
+
 _QUICK = " union all ".join(f"select repo, path, line_no, rule_type, severity, {S.text(n)} as scanner from ({S.findings(src, rules)})" for n, rules in (("secrets", R.SECRET_RULES), ("vulnerabilities", R.VULNERABILITY_RULES)) for src in (S.CONTEXTS, S.SNIPPETS))
 
 

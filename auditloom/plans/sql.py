@@ -36,6 +36,15 @@ select repo, 'requirements.txt' as path, concat('# pinned', chr(10), 'flask==',
 union all select repo, 'package.json' as path, concat('{"dependencies": {"express": "^4.', cast(length(repo) as string), '.0", "react": "latest"}, "devDependencies": {"Flask": "~1.0"}}') as content from repos where primary_language is not null
 union all select repo, 'Gemfile' as path, concat('source "https://gems.invalid"', chr(10), 'gem "rails", "~> 7.', cast(length(repo) as string), '"', chr(10), 'gem "puma"', chr(10)) as content from repos where team is not null
 union all select repo, 'app.csproj' as path, '<Project><PackageReference Include="Serilog" Version="3.1.1" /><PackageReference Include="Dapper" /></Project>' as content from repos where project_type = 'cli'
+union all select repo, 'Pipfile' as path, concat('[packages]', chr(10), 'name = "x"', chr(10), 'celery = "~=', cast(length(repo) as string), '.2"', chr(10), 'boto = "*"', chr(10)) as content from repos
+union all select repo, 'pyproject.toml' as path, concat('[project]', chr(10), 'dependencies = [', chr(10), '  "httpx>=0.', cast(length(repo) as string), '",', chr(10), '  "rich",', chr(10), ']', chr(10), 'other = [', chr(10), '  "no"', chr(10), ']', chr(10)) as content from repos
+union all select repo, 'Cargo.toml' as path, concat('[package]', chr(10), 'name = "x"', chr(10), '[dependencies]', chr(10), 'serde = "1.', cast(length(repo) as string), '"', chr(10), 'axum = "0.8"', chr(10), '[profile]', chr(10), 'q = "1"', chr(10)) as content from repos
+union all select repo, 'pom.xml' as path, concat('<dependency><groupId>org.x</groupId><artifactId>core</artifactId><version>', cast(length(repo) as string), '</version></dependency><dependency>', chr(10), '<groupId>org.x</groupId><artifactId>web</artifactId></dependency>') as content from repos
+union all select repo, 'build.gradle' as path, concat('implementation "org.y:core:', cast(length(repo) as string), '.0"', chr(10), 'api "org.y:api"', chr(10), 'compile "none"', chr(10)) as content from repos
+union all select repo, 'go.mod' as path, concat('module m', chr(10), 'require (', chr(10), chr(9), 'a.b/c v', cast(length(repo) as string), '.0', chr(10), chr(9), '// no', chr(10), ')', chr(10), 'require d.e/f v2', chr(10)) as content from repos
+union all select repo, 'composer.json' as path, concat('{"require": {"php": "8", "a/b": "^', cast(length(repo) as string), '"}, "require-dev": {"c/d": "1"}}') as content from repos
+union all select repo, 'pubspec.yaml' as path, concat('name: x', chr(10), 'dependencies:', chr(10), '  http: ^', cast(length(repo) as string), '.0', chr(10), 'dev_dependencies:', chr(10), '  t: 1', chr(10)) as content from repos
+union all select repo, 'web/package.json' as path, concat('{"dependencies": {"vue": "', cast(length(repo) as string), '"}}') as content from repos
 """
 
 
@@ -59,8 +68,17 @@ def findings(source: str, catalogue: list[R.Rule], columns: str = "repo, path, l
     return f"with {source}, {LINES}, {framed}, found as ({found}) select {columns} from found"
 
 
+def advised() -> str:
+    """The findings of the three catalogues, each with the sentences of its rule."""
+    parts = []
+    for source, rules in ((CONTEXTS, R.SECRET_RULES), (SNIPPETS, R.VULNERABILITY_RULES), (SLOW, R.PERFORMANCE_RULES)):
+        said = ", ".join(f"({r.place}, {text(r.meaning)}, {text(r.advice)})" for r in rules)
+        parts.append(f"select repo, path, line_no, rule_type, description, recommendation from ({findings(source, rules)}) join (values {said}) v(place, description, recommendation) on rule = place")
+    return " union all ".join(parts)
+
+
 LOC = f"with {CODE}, {LINES}, counted as (select repo, path, count(*) as loc from (select repo, path, {BARE} as bare from lines) where bare <> '' and not ({' or '.join(f'starts_with(bare, {text(p)})' for p in L.NO_CODE)}) group by repo, path), loc_per_file as (select code.repo, code.path, code.ext, code.content, coalesce(loc, 0) as loc from (select distinct repo, path, ext, content from code) code left join counted using (repo, path))"
-DUPLICATION = f"with {CODE}, first as (select * from (select *, row_number() over (partition by repo order by path) as nth from code) where nth <= 100), {LINES.replace('from code', 'from first')}, kept as (select repo, {BARE} as line from lines), counted as (select repo, line from kept where length(line) >= 10 and not ({' or '.join(f'starts_with(line, {text(p)})' for p in L.NO_DUPLICATE)})) select repo, count(*) as lines, count(*) - count(distinct line) as duplicated, round((count(*) - count(distinct line)) * 100 / count(*), 1) as percent from counted group by repo"
+DUPLICATION = f"with {CODE}, {LINES}, kept as (select repo, {BARE} as line from lines), counted as (select repo, line from kept where length(line) >= 10 and not ({' or '.join(f'starts_with(line, {text(p)})' for p in L.NO_DUPLICATE)})) select repo, count(*) as lines, count(*) - count(distinct line) as duplicated, round((count(*) - count(distinct line)) * 100 / count(*), 1) as percent from counted group by repo"
 LANGUAGE = "case lower(ext) " + " ".join(f"when {text(e)} then {text(l)}" for e, l in A.LANGUAGES.items()) + " end"
 LANGUAGES = f"with {CODE}, counted as (select repo, {LANGUAGE} as language, count(*) as file_count from code where {LANGUAGE} is not null group by 1, 2)"
 LAYER = "case " + " ".join("when " + " or ".join(f"contains(lower(directory), {text(w)})" for w in words) + f" then {text(n)}" for n, words in A.LAYERS.items()) + " else 'Other' end"
@@ -70,19 +88,68 @@ MAINTAINED = "case when loc = 0 then 100.0 else round(least(100.0, greatest(0.0,
 DEBT = "case when complexity > 15 then (complexity - 15) * 5 when complexity > 10 then (complexity - 10) * 2 else 0 end + case when loc > 500 then (loc - 500) * 0.1 + 5 else 0 end"
 
 
+def all_frameworks() -> str:
+    """Frameworks by manifest, else by the words of a source, else by suffix."""
+    known = f"lower(ext) in ({', '.join(map(text, A.LANGUAGES))})"
+    base = f"with {CODE}, manifests as ({MANIFESTS}), texts as (select repo, case when path = 'requirements.txt' then lower(content) else content end as t from manifests where path in ({', '.join(map(text, A.MANIFESTS))})), sources as (select repo, lower(ext) as ext, coalesce(content, '') as c from code where {known}), "
+    found = []
+    for n, (words, imports, suffixes) in A.FRAMEWORKS.items():
+        found.append(f"select distinct repo, {text(n)} as framework, 1 as rank from texts where {' or '.join(f'contains(t, {text(w)})' for w in words)}")
+        if imports:
+            found.append(f"select distinct repo, {text(n)}, 2 from sources where {' or '.join(f'contains(c, {text(w)})' for w in imports)}")
+        if suffixes:
+            found.append(f"select distinct repo, {text(n)}, 3 from sources where ext in ({', '.join(map(text, suffixes))})")
+    return base + f"found as ({' union all '.join(found)}) select repo, framework, case min(rank) when 1 then 'manifest' when 2 then 'import' else 'suffix' end as evidence from found group by repo, framework"
+
+
+def kinds() -> str:
+    """The kind of project with most points, ties in the order of the kinds."""
+    has = lambda *names: "(" + " or ".join(f"list_contains(dirs, {text(x)})" for x in names) + ")"
+    root = lambda *names: "(" + " or ".join(f"list_contains(roots, {text(x)})" for x in names) + ")"
+    n = lambda test, points: f"case when {test} then {points} else 0 end"
+    points = {
+        "microservices": [n(root("docker-compose.yml", "docker-compose.yaml"), 2), n(has("services"), 3), n(has("k8s", "kubernetes"), 2)],
+        "api_rest": [*(n(has(x), 2) for x in ("api", "routes", "controllers", "endpoints")), n(f"{has('public')} and {has('src')}", 1)],
+        "mobile": [n(root("pubspec.yaml"), 3), n(has("android", "ios"), 2), n("dart", 2)],
+        "desktop": [n("cs", 1)],
+        "cli": ["2 * cli"],
+        "library": [n(root("setup.py", "setup.cfg"), 1), n(f"{has('lib')} and not {has('src')}", 1)],
+    }
+    known = f"lower(ext) in ({', '.join(map(text, A.LANGUAGES))})"
+    spoken = " or ".join(f"contains(content, {text(w)})" for w in A.CLI_WORDS)
+    row = f"select repo, list(distinct case when contains(path, '/') then split_part(path, '/', 1) end) filter (contains(path, '/')) as dirs, list(distinct path) filter (not contains(path, '/')) as roots, bool_or(lower(ext) = '.dart') as dart, bool_or(lower(ext) in ('.cs', '.xaml') and {known}) as cs, count(*) filter ({known} and coalesce({spoken}, false)) as cli from code group by repo"
+    scored = " union all ".join(f"select repo, {text(k)} as project_type, {A.KINDS.index(k)} as place, {' + '.join(v)} as points from row_" for k, v in points.items())
+    return f"with {CODE}, row_ as (select repo, coalesce(dirs, []::varchar[]) as dirs, coalesce(roots, []::varchar[]) as roots, dart, cs, cli from ({row})), scored as ({scored}), best as (select *, row_number() over (partition by repo order by points desc, place) as nth from scored) select repo, case when points = 0 then 'monolith' else project_type end as project_type from best where nth = 1"
+
+
 def frameworks() -> str:
-    texts = f"with manifests as ({MANIFESTS}), texts as (select repo, case when path = 'requirements.txt' then lower(content) else content end as t from manifests where path in ('requirements.txt', 'package.json'))"
+    texts = f"with manifests as ({MANIFESTS}), texts as (select repo, case when path = 'requirements.txt' then lower(content) else content end as t from manifests where path in ({', '.join(map(text, A.MANIFESTS))}))"
     return texts + " " + " union ".join(f"select distinct repo, {text(n)} as framework, 'manifest' as evidence from texts where {' or '.join(f'contains(t, {text(w)})' for w in words[0])}" for n, words in A.FRAMEWORKS.items())
 
 
 REQUIREMENT = r"^([a-zA-Z0-9_.-]+)\s*([><=!~]+.*)?$"
+GEM, TAG = r'''gem\s+["']([^"']+)["'](?:,\s*["']([^"']+)["'])?'''.replace("'", "''"), r'''<PackageReference\s+Include="([^"]+)"(?:\s+Version="([^"]+)")?'''
+POM = r"<dependency>\s*<groupId>([^<]+)</groupId>\s*<artifactId>([^<]+)</artifactId>\s*(?:<version>([^<]+)</version>)?"
+GRADLE = r'''(?:implementation|api|compile|testImplementation)\s+["']([^"']+)["']'''.replace("'", "''")
+PIPENV = r'''^(\w[\w.-]*)\s*=\s*["']([^"'\n]+)["']'''.replace("'", "''")
 DEPENDENCIES = f"""with manifests as ({MANIFESTS}),
 pip as (select repo, path, 'pip' as manager, 1 as place, i as seq, line from (select repo, path, string_split(content, chr(10)) as l, unnest(range(1, len(string_split(content, chr(10))) + 1)) as i, string_split(content, chr(10))[i] as line from manifests where path = 'requirements.txt')),
-npm as (select repo, path, s, json_extract(content, '$.' || s) as j from manifests, (values ('dependencies'), ('devDependencies')) v(s) where path = 'package.json'),
+npm as (select repo, path, s, json_extract(content, '$."' || s || '"') as j, case path when 'package.json' then 'npm' when 'composer.json' then 'composer' else 'npm nested' end as manager, case path when 'package.json' then 0 when 'composer.json' then 9 else 12 end as place from manifests, (values ('dependencies', 'package.json'), ('devDependencies', 'package.json'), ('require', 'composer.json'), ('require-dev', 'composer.json')) v(s, f) where ends_with(path, f)),
+ml as (select repo, path, l, i, l[i] as line, trim(l[i], ' ' || chr(9)) as bare from (select repo, path, string_split(content, chr(10)) as l, unnest(range(1, len(string_split(content, chr(10))) + 1)) as i from manifests)),
+pairs as (select repo, path, manager, place, unnest(n) as name, unnest(v) as version, unnest(range(0, len(n))) as i from (
+select repo, path, 'bundler' as manager, 8 as place, regexp_extract_all(content, '{GEM}', 1) as n, regexp_extract_all(content, '{GEM}', 2) as v from manifests where path = 'Gemfile'
+union all select repo, path, 'nuget', 11, regexp_extract_all(content, '{TAG}', 1), regexp_extract_all(content, '{TAG}', 2) from manifests where ends_with(path, '.csproj')
+union all select repo, path, 'maven', 5, list_transform(list_zip(regexp_extract_all(content, '{POM}', 1), regexp_extract_all(content, '{POM}', 2)), lambda z: z[1] || ':' || z[2]), regexp_extract_all(content, '{POM}', 3) from manifests where path = 'pom.xml')),
+gradle as (select repo, path, i, string_split(x, ':') as p from (select repo, path, unnest(regexp_extract_all(content, '{GRADLE}', 1)) as x, unnest(range(0, len(regexp_extract_all(content, '{GRADLE}', 1)))) as i from manifests where path = 'build.gradle')),
 deps as (
 select repo, path, manager, place, seq, regexp_extract(line, '{REQUIREMENT}', 1) as name, case when regexp_extract(line, '{REQUIREMENT}', 2) = '' then '*' else trim(regexp_extract(line, '{REQUIREMENT}', 2)) end as version from pip where regexp_matches(line, '{REQUIREMENT}') and not regexp_matches(line, '^(#|-|$)')
-union all select repo, path, 'npm', 0, case s when 'dependencies' then 0 else 100 end + i, k, regexp_replace(json_extract_string(j, '$."' || k || '"'), '^[\\^~>=<!]+', '') from (select repo, path, s, j, unnest(json_keys(j)) as k, unnest(range(0, len(json_keys(j)))) as i from npm)
-union all select repo, path, 'bundler', 8, i, m[1], case when m[2] = '' then '*' else m[2] end from (select repo, path, unnest(range(0, 2)) as i, case when i = 0 then ['rails', '~> 7.' || cast(length(repo) as varchar)] else ['puma', ''] end as m from manifests where path = 'Gemfile')
-union all select repo, path, 'nuget', 11, i, m[1], m[2] from (select repo, path, unnest(range(0, 2)) as i, case when i = 0 then ['Serilog', '3.1.1'] else ['Dapper', '*'] end as m from manifests where path = 'app.csproj'))"""
+union all select repo, path, manager, place, case when s in ('dependencies', 'require') then 0 else 100 end + i, k, regexp_replace(json_extract_string(j, '$."' || k || '"'), '^[\\^~>=<!]+', '') from (select repo, path, s, j, manager, place, unnest(json_keys(j)) as k, unnest(range(0, len(json_keys(j)))) as i from npm where j is not null) where not (manager = 'composer' and starts_with(k, 'php'))
+union all select repo, path, manager, place, i, name, coalesce(nullif(version, ''), '*') from pairs
+union all select repo, path, 'gradle', 6, i, p[1] || ':' || p[2], coalesce(p[3], '*') from gradle where len(p) >= 2
+union all select repo, path, 'pipenv', 2, i, regexp_extract(line, '{PIPENV}', 1), regexp_replace(regexp_extract(line, '{PIPENV}', 2), '^[\\^~>=<!]+', '') from ml where path = 'Pipfile' and regexp_matches(line, '{PIPENV}') and regexp_extract(line, '{PIPENV}', 1) not in ('name', 'requires', 'packages')
+union all select repo, path, 'pyproject', 3, i, regexp_extract(bare, '^"([a-zA-Z0-9_.-]+)', 1), case when regexp_extract(bare, '([><=!~]+\\s*[\\d.*]+)', 1) = '' then '*' else regexp_extract(bare, '([><=!~]+\\s*[\\d.*]+)', 1) end from ml where path = 'pyproject.toml' and i > list_position(l, 'dependencies = [') and i < list_position(l, ']')
+union all select repo, path, 'cargo', 4, i, regexp_extract(bare, '^([\\w-]+)', 1), regexp_extract(bare, '"(.+)"', 1) from (select *, max(case when starts_with(line, '[') then i end) over (partition by repo, path order by i) as head from ml where path = 'Cargo.toml') where l[head] = '[dependencies]' and contains(bare, '=')
+union all select repo, path, 'go', 7, i, regexp_extract(bare, '^(?:require\\s+)?(\\S+)', 1), regexp_extract(bare, '(\\S+)$', 1) from ml where path = 'go.mod' and not starts_with(bare, '//') and (i > list_position(l, 'require (') and i < list_position(l, ')') or regexp_matches(bare, '^require\\s+[^\\s(]'))
+union all select repo, path, 'pub', 10, i, regexp_extract(bare, '^(\\w+):', 1), ltrim(regexp_extract(bare, ':\\s*(.+)$', 1), '^') from ml where path = 'pubspec.yaml' and i > list_position(l, 'dependencies:') and i < list_position(l, 'dev_dependencies:'))"""
 UNIQUE = DEPENDENCIES + ", firsts as (select *, row_number() over (partition by repo, lower(name) order by place, path, seq) as nth from deps), uniq as (select repo, name, version, manager, version in ('*', 'latest', 'HEAD') as outdated from firsts where nth = 1)"
 LARGE = "coalesce(files_changed, 0) > 30 or coalesce(insertions, 0) + coalesce(deletions, 0) > 1000"

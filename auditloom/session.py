@@ -13,10 +13,16 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where no cluster names one, a new temporary folder."""
+    """The folder of spark.checkpoint.dir. Where none is named a session on one machine gets a temporary one, a cluster an error.
+
+    What is written there goes with the session if spark.cleaner.referenceTracking.cleanCheckpoints is true.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="auditloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="auditloom-"))
     return context.getCheckpointDir()
 
 

@@ -43,15 +43,33 @@ class GitReader(DataSourceReader):
                 name, _, seconds = line.partition("\t")
                 yield repo, name, _time(seconds)
             return
-        limit = ["-n", self.options["limit"]] if self.options.get("limit") else []
-        log = _git(path, "log", *limit, "--numstat", f"--format={MARK}%H%x1f%an%x1f%ct%x1f%B%x1f")
-        for seq, entry in enumerate(log.split(MARK)[1:]):
-            sha, author, seconds, message, stat = entry.split("\x1f", 4)
-            counts = [line.split("\t") for line in stat.splitlines() if line.count("\t") >= 2]
+        for seq, entry in enumerate(self._entries(path)):
+            sha, parents, author, seconds, message, rest = entry.split("\x1f", 5)
+            at = rest.find("\ndiff --")
+            counts = [line.split("\t") for line in rest[: at if at >= 0 else None].splitlines() if line.count("\t") >= 2]
+            counts = [] if " " in parents else counts  # merges change nothing of their own
             number = lambda x: int(x) if x.isdigit() else 0
-            diff = _git(path, "show", "--format=", sha) if self.options.get("diff", "false").lower() == "true" else None
+            diff = (rest[at + 1 :] if at >= 0 else "") if self._diff() else None
             yield repo, seq, sha[:8], author, _time(seconds), message.rstrip("\n"), len(counts), sum(number(c[0]) for c in counts), sum(number(c[1]) for c in counts), diff
 
+    def _diff(self) -> bool:
+        return self.options.get("diff", "false").lower() == "true"
+
+    def _entries(self, path: str) -> Iterator[str]:
+        """The log commit by commit, from one process whose output is read as it comes; no more than one commit is held."""
+        limit = ["-n", self.options["limit"]] if self.options.get("limit") else []
+        change = ["-p", "--cc"] if self._diff() else []
+        command = ["git", "-c", "safe.directory=*", "-C", path, "log", *limit, "--numstat", *change, f"--format={MARK}%H%x1f%P%x1f%an%x1f%ct%x1f%B%x1f"]
+        with subprocess.Popen(command, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as process:
+            held: list[bytes] = []
+            for line in process.stdout:
+                if line.startswith(MARK.encode()) and held:
+                    yield b"".join(held)[1:].decode("utf-8", "ignore")
+                    held = []
+                held.append(line)
+            if held and held[0].startswith(MARK.encode()):
+                yield b"".join(held)[1:].decode("utf-8", "ignore")
+
 
 class GitLogSource(DataSource):
     @classmethod

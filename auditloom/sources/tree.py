@@ -5,7 +5,7 @@
 
 Options: `path`; `repo` (a name; without it the first directory under the path is the repository when `by_directory` is true);
 `skip` (names of directories that are not entered, separated by commas); `suffixes` and `max_bytes` (which files are read);
-`metadata_only` (no contents); `partition_bytes` (how much a task reads). Bytes that are no UTF-8 are dropped, unreadable
+`metadata_only` (no contents); `tasks` (from how many directories on the driver stops listing and tasks walk on). Bytes that are no UTF-8 are dropped, unreadable
 files have null content and size, directories come as rows with `kind` = dir so that empty ones are seen.
 """
 
@@ -21,11 +21,11 @@ SKIPPED = "node_modules,.git,__pycache__,.venv,venv,dist,build,.next,.nuxt,targe
 SCHEMA = "repo string, path string, name string, ext string, kind string, size long, content string"
 
 
-class Files(InputPartition):
-    """The files that one task reads: (repo, root, relative path, is a directory)."""
+class Folder(InputPartition):
+    """A directory that one task reads: its repository, the root, its relative path, and whether what lies deeper belongs to it."""
 
-    def __init__(self, entries: list[tuple[str, str, str, bool]]):
-        self.entries = entries
+    def __init__(self, repo: str, root: str, path: str, deep: bool):
+        self.repo, self.root, self.path, self.deep = repo, root, path, deep
 
 
 class TreeReader(DataSourceReader):
@@ -35,7 +35,7 @@ class TreeReader(DataSourceReader):
         self.suffixes = tuple(x for x in options.get("suffixes", "").lower().split(",") if x)
         self.most = int(options.get("max_bytes", 0))
         self.metadata = options.get("metadata_only", "false").lower() == "true"
-        self.step = int(options.get("partition_bytes", 64 << 20))
+        self.tasks = int(options.get("tasks", 256))
 
     def _roots(self) -> list[tuple[str, str]]:
         base = self.options["path"]
@@ -45,47 +45,42 @@ class TreeReader(DataSourceReader):
             return [(name, os.path.join(base, name)) for name in sorted(os.listdir(base)) if os.path.isdir(os.path.join(base, name))]
         return [(self.options.get("repo", os.path.basename(os.path.normpath(base))), base)]
 
-    def partitions(self) -> list[Files]:
-        """Walks and prunes once, on the driver; the listing holds names only."""
-        out, entries, held = [], [], 0
-        for repo, root in self._roots():
-            for folder, names, files in os.walk(root):
-                names[:] = sorted(n for n in names if n not in self.skip and not n.endswith(".egg-info"))
-                relative = os.path.relpath(folder, root)
-                if relative != ".":
-                    entries.append((repo, root, relative.replace(os.sep, "/"), True))
-                for name in sorted(files):
-                    path = os.path.relpath(os.path.join(folder, name), root).replace(os.sep, "/")
-                    if self.suffixes and not name.lower().endswith(self.suffixes):
-                        continue
-                    try:
-                        size = os.lstat(os.path.join(folder, name)).st_size
-                    except OSError:
-                        size = 0
+    def _entered(self, name: str) -> bool:
+        return name not in self.skip and not name.endswith(".egg-info")
+
+    def partitions(self) -> list[Folder]:
+        """Lists level by level until there are enough directories for the tasks, which walk on from there."""
+        level = [(repo, root, "") for repo, root in self._roots()]
+        shallow: list[Folder] = []
+        while level and len(level) < self.tasks:
+            below = []
+            for repo, root, path in level:
+                shallow.append(Folder(repo, root, path, False))
+                with os.scandir(os.path.join(root, path)) as entries:
+                    below += [(repo, root, f"{path}/{e.name}".lstrip("/")) for e in entries if e.is_dir(follow_symlinks=False) and self._entered(e.name)]
+            level = sorted(below)
+        return [*shallow, *(Folder(*f, True) for f in level)]
+
+    def read(self, partition: Folder) -> Iterator[tuple]:
+        repo, root = partition.repo, partition.root
+        for folder, names, files in os.walk(os.path.join(root, partition.path)):
+            names[:] = sorted(filter(self._entered, names)) if partition.deep else []
+            relative = os.path.relpath(folder, root).replace(os.sep, "/")
+            if relative != ".":
+                yield repo, relative, relative.rsplit("/", 1)[-1], "", "dir", None, None
+            for name in sorted(files):
+                full = os.path.join(folder, name)
+                if self.suffixes and not name.lower().endswith(self.suffixes):
+                    continue
+                try:
+                    size = os.path.getsize(full)
                     if self.most and size >= self.most:
                         continue
-                    entries.append((repo, root, path, False))
-                    held += size
-                    if held >= self.step or len(entries) >= 20_000:
-                        out.append(Files(entries))
-                        entries, held = [], 0
-        return [*out, Files(entries)]
-
-    def read(self, partition: Files) -> Iterator[tuple]:
-        for repo, root, path, directory in partition.entries:
-            name = path.rsplit("/", 1)[-1]
-            dot = name.rfind(".")
-            ext = name[dot:].lower() if dot > 0 else ""
-            if directory:
-                yield repo, path, name, "", "dir", None, None
-                continue
-            full = os.path.join(root, path)
-            try:
-                size = os.path.getsize(full)
-                content = None if self.metadata else open(full, "rb").read().decode("utf-8", "ignore")
-            except OSError:
-                size = content = None
-            yield repo, path, name, ext, "file", size, content
+                    content = None if self.metadata else open(full, "rb").read().decode("utf-8", "ignore")
+                except OSError:
+                    size = content = None
+                dot = name.rfind(".")
+                yield repo, name if relative == "." else f"{relative}/{name}", name, name[dot:].lower() if dot > 0 else "", "file", size, content
 
 
 class TreeSource(DataSource):

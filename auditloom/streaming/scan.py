@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions.text import line_array
-from auditloom.operators.scan import _hits, scannable
+from auditloom.operators.scan import hits, scannable
 from auditloom.plans.rules import Rule
 
 
@@ -23,7 +23,7 @@ def incoming(spark: SparkSession, folder: str, schema: str, files_per_trigger: i
 
 def findings(files: DataFrame, catalogue: list[Rule]) -> DataFrame:
     """(repo, path, line_no, rule_type, severity) of a stream of files; further columns named in `files` are not kept."""
-    rows = scannable(files).select("repo", "path", F.posexplode(F.transform(line_array(F.col("content")), lambda l: _hits(l, catalogue))).alias("at", "hits")).where(F.size("hits") > 0)
+    rows = scannable(files).select("repo", "path", F.posexplode(F.transform(line_array(F.col("content")), lambda l: hits(l, catalogue))).alias("at", "hits")).where(F.size("hits") > 0)
     of = lambda get: F.element_at(F.create_map(*(F.lit(x) for r in catalogue for x in (r.place, get(r)))), F.col("rule"))
     each = rows.select("repo", "path", (F.col("at") + 1).alias("line_no"), F.explode("hits").alias("rule"))
     return each.select("repo", "path", "line_no", of(lambda r: r.kind).alias("rule_type"), of(lambda r: r.severity).alias("severity"))
