@@ -64,5 +64,20 @@ def test_alignment():
     a = [str(i) for i in range(30)]
     b = ["x", *a[5:12], "y", *a[13:25], "z"]
     seeds = [(i, b.index(str(i))) for i in range(5, 23) if i not in (10, 11, 12)]
-    ((first, end, matched),) = leakage.passages(a, b, seeds)
+    ((first, end, matched),) = leakage.passages(a, lambda x, y: b[x:y], seeds)
     assert (first, end, matched) == (5, 25, 19) and leakage.held([(0, 10, 10), (5, 17, 12), (20, 31, 11)]) == 23
+
+
+def test_blocks_of_items_change_nothing(spark):
+    rng = random.Random(13)
+    items = [(n, item(rng)) for n in range(20)]
+    documents = [(i, f"{sentence(20, rng)} {items[i % 20][1].split('. ', 1)[1]} {sentence(20, rng)}") for i in range(30)]
+    d, i = spark.createDataFrame(documents, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = rows(leakage.leaks(d, i))
+    assert len(whole) == 30 and rows(leakage.leaks(d, i, small=300)) == whole
+
+
+def test_no_text_is_shuffled(spark):
+    d, i = spark.createDataFrame([(1, "x")], "doc_id long, text string"), spark.createDataFrame([(1, "y")], "item_id long, text string")
+    plan = leakage.leaks(d, i)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
