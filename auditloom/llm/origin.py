@@ -11,7 +11,7 @@ its files, against a seed too:
 A family of one decides for itself. Copies of packages have the shapes of any code, so masked families cannot tell them;
 they are known by a place or a licence of a package in a comment line, or as one text in several repositories.
 
-Similarity is that of the whole sets, each shingle by 40 bits of its hash. Within a bucket only pairs that are linked already,
+Similarity is that of the whole sets, each shingle by 36 bits of its hash. Within a bucket only pairs that are linked already,
 directly or through others, and pairs of sizes that rule 0.8 out are left uncompared, as neither can change a family. Buckets
 of more than `BLOCK` classes are compared block by block, so that a task holds two blocks. What no bucket brings together
 (a pair at 0.8 with a chance of one in seventy) is not compared.
@@ -36,7 +36,7 @@ from auditloom.session import cut, spread
 
 SHINGLE = 5
 SIMILAR = 0.8
-WIDTH = 5  # bytes a shingle
+WIDTH = 36  # bits a shingle
 BLOCK = 2048  # classes of a bucket that are held at once, twice
 BANDS, ROWS = 8, 4
 PREVAIL = 0.3  # share of a family with a generator's marks from which all of it is generated
@@ -110,9 +110,19 @@ def tokens_of(body: str) -> tuple[list[str], int]:
     return tokens, letters
 
 
+# What stands in every text that a mark or a licence can be found in; all others need no search for comments.
+HINTED = "generated created machine erzeugt generiert automatisch gerado generado сгенерирован copyright (c) redistribution @license".split() + ["do not modify by hand", "produced by the", "this is a copy of", "permission is", "released under the"] + [f"g{x}n{y}r{z}" for x in "eé" for y in "eé" for z in "eé"]
+HEAD = re.compile(r"(?i)!\s*\w[\w-]* v?\d+\.\d+\.\d+")
+
+
+def hinted(text: str) -> bool:
+    low = text.lower()
+    return any(w in low for w in HINTED) or "!" in text and bool(HEAD.search(text))
+
+
 def measure(text: str, path: str, mask: _Mask) -> tuple:
     """(generated, vendored, data, minified: what is seen; class, set, bands) of a file."""
-    said = notes(text)
+    said = notes(text) if hinted(text) else ""
     generated = bool(NAMES.search(path)) or bool(GENERATED.search(said))
     vendored = bool(PLACES.search(path)) or bool(LICENCES.search(said))
     body = COMMENT.sub("", text)
@@ -136,10 +146,29 @@ def measure(text: str, path: str, mask: _Mask) -> tuple:
         distinct = mixed[np.concatenate([[True], mixed[1:] != mixed[:-1]])]
         least = (distinct[:, None] * FACTORS[None, :] >> np.uint64(11)).min(axis=0).reshape(BANDS, ROWS)
         bands = (least * FACTORS[:ROWS]).sum(axis=1) ^ (np.arange(BANDS, dtype=np.uint64) * MIX)
-    packed = np.ascontiguousarray((distinct >> np.uint64(63 - 8 * WIDTH)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes()
+    packed = pack(distinct >> np.uint64(63 - WIDTH))
     return generated, vendored, data, minified, _id(packed, 8), packed, bands.view(np.int64).tolist()
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Numbers of 36 bits in four and a half bytes each."""
+    high = (values >> np.uint64(32)).astype(np.uint8)
+    if len(high) % 2:
+        high = np.append(high, np.uint8(0))
+    return values.astype("<u4").tobytes() + (high[::2] | high[1::2] << np.uint8(4)).tobytes()
+
+
+def count(packed: bytes) -> int:
+    return 2 * len(packed) // 9
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    n = count(packed)
+    both = np.frombuffer(packed, np.uint8, offset=4 * n)
+    high = np.stack([both & np.uint8(15), both >> np.uint8(4)], axis=1).ravel()[:n]
+    return np.frombuffer(packed, "<u4", n).astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+
+
 def _id(data: bytes, size: int):
     """A number of 64 bits, or `size` bytes, that stands for these bytes."""
     digest = hashlib.blake2b(data, digest_size=size).digest()
@@ -175,14 +204,13 @@ def measured(source_files: DataFrame) -> DataFrame:
 
 def _bits(sets: list[bytes]) -> np.ndarray:
     """A row of bits for each set, a column for each shingle of two sets or more."""
-    raw = np.frombuffer(b"".join(sets), np.uint8).reshape(-1, WIDTH)
-    values = np.zeros((len(raw), 8), np.uint8)
-    values[:, :WIDTH] = raw
-    _, codes, counts = np.unique(values.view("<u8").ravel(), return_inverse=True, return_counts=True)
+    each = [unpack(x) for x in sets]
+    values = np.concatenate([*each, np.empty(0, np.uint64)])
+    _, codes, counts = np.unique(values, return_inverse=True, return_counts=True)
     shared = counts > 1
     columns = np.where(shared, np.cumsum(shared) - 1, -1)[codes]
     width = -(-max(1, int(shared.sum())) // 64) * 64
-    ends = np.cumsum([len(s) // WIDTH for s in sets])
+    ends = np.cumsum([len(x) for x in each])
     out = np.zeros((len(sets), width // 64), np.uint64)
     for first in range(0, len(sets), 256):
         last = min(first + 256, len(sets))
@@ -199,7 +227,7 @@ def _links(table: pa.Table) -> pa.Table:
     ids = table.column("class").to_numpy()
     block, one, two = (table.column(c).to_numpy() for c in ("block", "one", "two"))
     sets = table.column("set").to_pylist()
-    bits, sizes = _bits(sets), np.array([len(s) // WIDTH for s in sets])
+    bits, sizes = _bits(sets), np.array([count(x) for x in sets])
     label = np.arange(len(ids))
     found: list[tuple[int, int]] = []
     across = one[0] != two[0]
@@ -253,7 +281,7 @@ def origins(source_files: DataFrame) -> DataFrame:
     files = cut(measured(source_files))
     classes = files.where("class is not null").groupBy("class").agg(F.first("set").alias("set"), F.first("bands").alias("bands"))
     decisions = decided(files.select("repo", "file_path", "generated", "data", "minified", "class"), families(classes))
-    places = files.where((F.length("set") >= 20 * WIDTH) & ~F.col("vendored")).select("text", "repo").distinct()
+    places = files.where((F.length("set") >= len(pack(np.arange(20, dtype=np.uint64)))) & ~F.col("vendored")).select("text", "repo").distinct()
     copied = places.groupBy("text").agg(F.count("*").alias("repos")).where(F.col("repos") >= COPIES).select("text", F.lit(True).alias("copied"))
     judged = files.drop("set", "bands").join(decisions, "class", "left").join(copied, "text", "left")
     short = F.when(F.col("class").isNull(), F.when(F.col("generated"), "generated").when(F.col("data"), "data"))  # too few tokens for a shingle

@@ -88,7 +88,7 @@ def test_components(spark):
 
 
 def sets_of(spark, sets, bands):
-    packed = [b"".join(x.to_bytes(origin.WIDTH, "little") for x in sorted(s)) for s in sets]
+    packed = [origin.pack(np.array(sorted(s), np.uint64)) for s in sets]
     return spark.createDataFrame([(i, bytearray(p), b) for i, (p, b) in enumerate(zip(packed, bands))], "class long, set binary, bands array<long>")
 
 
@@ -120,11 +120,25 @@ def test_all_pairs_of_a_bucket(spark):
         assert {r["class"]: r.family for r in found} == joined(sets, bands)
 
 
+def test_packing():
+    rng = random.Random(6)
+    for n in (0, 1, 2, 5, 40):
+        values = sorted(rng.sample(range(1 << 36), n))
+        packed = origin.pack(np.array(values, np.uint64))
+        assert origin.unpack(packed).tolist() == values and origin.count(packed) == n
+
+
+def test_no_mark_without_a_hint():
+    marks = ["Code generated by x", "@generated", "<autogenerated>", "machine-written source", "generated on 2020 by", "do not modify by hand", "produced by the X compiler", "file was created by", "automatically created from", "generado automáticamente", "Généré par", "genere autom", "erzeugt von x, nicht", "automatisch generiert", "gerado autom", "сгенерирован", "this is a copy of x v1", "@license", "(c) 2001 The x authors", "Copyright 2001 the x project", "permission is hereby granted", "released under the x", "redistribution in source", "/*! pack v1.2.3"]
+    for m in marks:
+        assert (origin.GENERATED.search(m) or origin.LICENCES.search(m)) and origin.hinted("x = 1\n" + m.upper()) and not origin.hinted("x = 1\n"), m
+
+
 def test_similarity_is_exact(spark):
     rng = random.Random(4)
     sets, bands = [], []
     for i in range(80):  # 250 shingles, pairs at 0.8 exactly or one shingle below
-        both = set(rng.sample(range(1 << 39), 250))
+        both = set(rng.sample(range(1 << origin.WIDTH), 250))
         sets += [both, set(sorted(both, key=lambda x: rng.random())[: 200 - i % 2])]
         bands += [[i], [i]]
     found = {r["class"]: r.family for r in origin.families(sets_of(spark, sets, bands)).collect()}
@@ -175,7 +189,7 @@ def test_links_against_brute_force():
         for at in rng.integers(0, 300, rng.integers(1, 6)):
             other[at] = "@"
         a, b = (origin.measure(" ".join(t), "a.js", origin._Mask()) for t in (tokens, other))
-        x, y = ({m[5][i : i + origin.WIDTH] for i in range(0, len(m[5]), origin.WIDTH)} for m in (a, b))
+        x, y = (set(origin.unpack(m[5]).tolist()) for m in (a, b))
         if len(x & y) / len(x | y) >= origin.SIMILAR:
             pairs += 1
             met += bool(set(a[6]) & set(b[6]))
