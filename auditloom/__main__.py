@@ -34,10 +34,13 @@ def run(spark: SparkSession, path: str, out: str) -> dict:
     layers = [r.directory for r in architecture.layers(files, directories).orderBy("directory").collect()]
     found = [r.framework for r in architecture.frameworks(files).orderBy("framework").collect()]
     managers = [r.manager for r in manifests.dependencies(files).select("manager", "place").distinct().orderBy("place").collect()]
+    findings: dict[str, list] = {}
+    for r in report.quick_scan(files).orderBy("path", "line_no").limit(1000).collect():
+        findings.setdefault(r.scanner, []).append(r)
     folder.mkdir(parents=True, exist_ok=True)
     whole = row.asDict() | {"summaries": report.summaries(row), "frameworks_found": found, "directories": layers}
     (folder / "audit.json").write_text(json.dumps(whole, indent=2, default=str))
-    (folder / "audit.md").write_text(report.render(row, report.priorities(one).collect(), layers, found))
+    (folder / "audit.md").write_text(report.render(row, report.priorities(one).collect(), layers, found, findings))
     (folder / "README.md").write_text(report.readme(row, layers, found, managers))
     (folder / "GUIDE.md").write_text(report.guide(row, layers, managers))
     files.unpersist()

@@ -94,6 +94,14 @@ def frameworks(files: DataFrame, sources: int | None = None, suffixes: int | Non
     return all_.select("repo", F.inline(F.array_compact(F.array(*rows))))
 
 
+def with_confidence(found: DataFrame, root: Column) -> DataFrame:
+    """Detected frameworks with `confidence`: 0.9 where the path of the tree holds a word of the framework's manifests, else 0.75."""
+    sure = F.lit(False)
+    for name, (words, _, _) in FRAMEWORKS.items():
+        sure = sure | (F.col("framework") == name) & _contains(root, words)
+    return found.withColumn("confidence", F.when(sure, 0.9).otherwise(0.75))
+
+
 def directories(files: DataFrame, empty: DataFrame | None = None) -> DataFrame:
     """(repo, directory): the top-level directories, with those of `empty` (repo, directory) too."""
     top = files.where(F.col("path").contains("/")).select("repo", F.split("path", "/")[0].alias("directory"))

@@ -43,11 +43,13 @@ def latest(commits: DataFrame, order: list, most: int = INSPECTED) -> DataFrame:
     return commits.withColumn("nth", F.row_number().over(Window.partitionBy("repo").orderBy(*order))).where(F.col("nth") <= most).drop("nth")
 
 
-def top_contributors(commits: DataFrame, most: int = TOP) -> DataFrame:
-    """(repo, author, commits): the authors with most commits of each repository; ties by name."""
-    counted = commits.groupBy("repo", "author").agg(F.count("*").alias("commits"))
-    order = Window.partitionBy("repo").orderBy(F.desc("commits"), F.asc_nulls_last("author"))
-    return counted.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth")
+def top_contributors(commits: DataFrame, most: int = TOP, counted: int | None = None, order: list | None = None) -> DataFrame:
+    """(repo, author, commits): the authors with most commits of each repository; ties by name. With `counted` (reports take
+    `COUNTED`) only as many latest commits of each repository count, by `order`."""
+    considered = commits if counted is None else latest(commits, order, counted)
+    counts = considered.groupBy("repo", "author").agg(F.count("*").alias("commits"))
+    rank = Window.partitionBy("repo").orderBy(F.desc("commits"), F.asc_nulls_last("author"))
+    return counts.withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= most).drop("nth")
 
 
 def abandoned(branches: DataFrame, now: Column, days: int = OLD_DAYS) -> DataFrame:

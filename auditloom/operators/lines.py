@@ -75,9 +75,15 @@ def duplication(files: DataFrame, most: int | None = None) -> DataFrame:
     return total.withColumn("percent", F.round(F.col("duplicated") * 100 / F.col("lines"), 1))
 
 
+# Suffixes of files whose size is none of source code.
+UNSIZED = ".png .jpg .jpeg .gif .svg .ico .woff .woff2 .ttf .eot .pdf .zip .tar .gz .jar .exe .dll .so .dylib .lock".split()
+
+
 def large_files(files: DataFrame, least: int = 100_000, most: int | None = 20) -> DataFrame:
-    """(repo, path, size_kb) of the files over `least` bytes, the largest `most` of each repository; ties by path."""
-    big = files.where(F.col("size") > least).select("repo", "path", "size").distinct()
+    """(repo, path, size_kb) of the files over `least` bytes, the largest `most` of each repository; ties by path. Binary
+    files and locks are left out."""
+    suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    big = files.where((F.col("size") > least) & ~suffix.isin(UNSIZED)).select("repo", "path", "size").distinct()
     if most is not None:
         order = Window.partitionBy("repo").orderBy(F.desc("size"), "path")
         big = big.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most)

@@ -141,3 +141,10 @@ def grandchildren_table(df: DataFrame, child: Child, key: str = "result_id", tex
         lambda x, i: F.struct(F.col(key).alias(key), e["pos"].alias("pos"), i.alias("nested_pos"), F.to_json(x).alias("value")),
     )
     return rows.select(F.inline(F.flatten(F.transform(child.name, inner)))).where("value is not null and value <> 'null'").dropDuplicates([key, "pos", "nested_pos"])
+
+
+def results_table(df: DataFrame, key: str = "result_id", text: str = "result", children: Sequence[Child] = CHILDREN) -> DataFrame:
+    """(key, children: one column each): the parent table, one row a result that can be read, with how many entries of each
+    child lead back to it. Results received twice count once."""
+    rows = _entries(df, key, text, children)
+    return rows.select(key, *(F.greatest(F.size(c.name), F.lit(0)).alias(f"{c.name}s") for c in children)).dropDuplicates([key])

@@ -13,7 +13,7 @@ import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.operators.lines import code_lines
@@ -29,7 +29,7 @@ MOST_BYTES = 100_000
 BRANCHES = (ast.If, ast.While, ast.For, ast.ExceptHandler, ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp, ast.Lambda, ast.comprehension)
 
 
-def python_metrics(text: str) -> tuple[float, int, list[dict]]:
+def python_metrics(text: str, function: int = LARGE_FUNCTION, class_: int = LARGE_CLASS) -> tuple[float, int, list[dict]]:
     """(complexity, unused imports, large functions and classes) of Python source; (0, 0, []) if it does not parse."""
     try:
         with warnings.catch_warnings():
@@ -43,12 +43,12 @@ def python_metrics(text: str) -> tuple[float, int, list[dict]]:
     large = []
     for n in nodes:
         kind = "class" if isinstance(n, ast.ClassDef) else "function" if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef)) else None
-        if kind and (span := (n.end_lineno or n.lineno) - n.lineno) > (LARGE_CLASS if kind == "class" else LARGE_FUNCTION):
+        if kind and (span := (n.end_lineno or n.lineno) - n.lineno) > (class_ if kind == "class" else function):
             large.append({"kind": kind, "name": n.name, "line": n.lineno, "lines": span})
     return float(complexity), unused, large
 
 
-def script_functions(text: str) -> list[dict]:
+def script_functions(text: str, function: int = LARGE_FUNCTION) -> list[dict]:
     """The large functions of a script: from a definition to the line where its braces are closed again."""
     lines = text.splitlines()
     depth = [0]
@@ -59,7 +59,7 @@ def script_functions(text: str) -> list[dict]:
         first = text.count("\n", 0, m.start())
         base = depth[first] if first < len(depth) else 0
         last = next((i for i in range(first + 1, len(lines)) if depth[i + 1] - base <= 0), first)
-        if last - first > LARGE_FUNCTION:
+        if last - first > function:
             large.append({"kind": "function", "name": m["a"] or m["b"] or "anonymous", "line": first + 1, "lines": last - first})
     return large
 
@@ -81,11 +81,12 @@ def is_source(most_bytes: int | None = MOST_BYTES) -> Column:
     return kept if most_bytes is None else kept & (F.col("size") < most_bytes)
 
 
-def file_metrics(files: DataFrame, most_bytes: int | None = MOST_BYTES) -> DataFrame:
+def file_metrics(files: DataFrame, most_bytes: int | None = MOST_BYTES, function: int = LARGE_FUNCTION, class_: int = LARGE_CLASS) -> DataFrame:
     """(repo, path, loc, complexity, maintainability, unused, large, issues): the metrics of every source file, each once.
 
     One pass over the texts: lines and branches by JVM expressions, trees in the Arrow pass that follows; only the metrics are
-    shuffled to drop repeated files. `most_bytes` (None: all) is the size from which files are not measured.
+    shuffled to drop repeated files. `most_bytes` (None: all) is the size from which files are not measured, `function` and
+    `class_` are the lines over which these are large.
     """
     sources = files.where(is_source(most_bytes))
     text = F.when(F.col("ext").isin(".py", *SCRIPTS), F.col("content"))
@@ -95,7 +96,7 @@ def file_metrics(files: DataFrame, most_bytes: int | None = MOST_BYTES) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [python_metrics(text or "") if ext == ".py" else (None, 0, script_functions(text) if text else []) for ext, text in zip(batch.column("ext").to_pylist(), batch.column("content").to_pylist())]
+            rows = [python_metrics(text or "", function, class_) if ext == ".py" else (None, 0, script_functions(text, function) if text else []) for ext, text in zip(batch.column("ext").to_pylist(), batch.column("content").to_pylist())]
             c, u, large = zip(*rows) if rows else ((), (), ())
             kept = [batch.column(n) for n in ("repo", "path", "loc", "script")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(c, pa.float64()), pa.array(u, pa.int32()), pa.array(large, kind)], ["repo", "path", "loc", "script", "tree", "unused", "large"])
@@ -129,3 +130,15 @@ def project_quality(metrics: DataFrame) -> DataFrame:
 def large_units(metrics: DataFrame) -> DataFrame:
     """(repo, path, kind, name, line, lines) of all large functions and classes."""
     return metrics.select("repo", "path", F.inline("large"))
+
+
+HEADS = {"function": 20, "class": 20}
+
+
+def listed_units(metrics: DataFrame, most: dict[str, int] = HEADS) -> DataFrame:
+    """(repo, path, kind, name, line, lines): of each kind the first large ones of a repository by path and line, as reports list them."""
+    order = Window.partitionBy("repo", "kind").orderBy("path", "line", "name")
+    kept = F.lit(False)
+    for kind, n in most.items():
+        kept = kept | (F.col("kind") == kind) & (F.col("nth") <= n)
+    return large_units(metrics).withColumn("nth", F.row_number().over(order)).where(kept).drop("nth")

@@ -18,17 +18,28 @@ from auditloom.plans import rules as R
 MOST_CHARACTERS = 500_000  # longer files are no source; an option of every scan
 # Suffixes that are not scanned.
 BINARY = ".png .jpg .jpeg .gif .svg .ico .woff .woff2 .ttf .eot .pdf .zip .tar .gz .jar .exe .dll .so .dylib".split()
+# What each scanner leaves out: suffixes, and names of minified files.
+SKIPPED = {"secrets": (BINARY, None), "vulnerabilities": (BINARY, r"\.min\.[^/]*$"), "performance": ([*BINARY, ".lock"], r"\.min\.js$")}
 
 
-def is_scanned(most: int | None = MOST_CHARACTERS, skipped=BINARY) -> Column:
-    """Whether a scan reads a file: by suffix, without minified names, up to `most` characters (None: any length)."""
-    kept = F.col("content").isNotNull() & ~F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(list(skipped)) & ~F.col("path").rlike(r"\.min\.[^/]*$")
+def suffix() -> Column:
+    return F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+
+
+def is_scanned(most: int | None = MOST_CHARACTERS, scanner: str | None = None) -> Column:
+    """Whether a scan reads a file: by the suffixes and names that the scanner (none: every one) leaves out, up to `most`
+    characters (None: any length)."""
+    left_out = [SKIPPED[scanner]] if scanner else SKIPPED.values()
+    kept = F.col("content").isNotNull()
+    for skipped, minified in left_out:
+        kept = kept & ~suffix().isin(list(skipped))
+        kept = kept & ~F.col("path").rlike(minified) if minified else kept
     return kept if most is None else kept & (F.length("content") <= most)
 
 
-def scannable(files: DataFrame, most: int | None = MOST_CHARACTERS, skipped=BINARY) -> DataFrame:
+def scannable(files: DataFrame, most: int | None = MOST_CHARACTERS, scanner: str | None = None) -> DataFrame:
     """The files that a scan reads."""
-    return files.where(is_scanned(most, skipped))
+    return files.where(is_scanned(most, scanner))
 
 
 def hits(line: Column, catalogue: list[R.Rule]) -> Column:
@@ -122,7 +133,7 @@ def sensitive_files(files: DataFrame) -> DataFrame:
 
 def certificate_files(files: DataFrame) -> DataFrame:
     """(repo, path) of certificates and key stores, by suffix."""
-    return files.where(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(R.CERTIFICATES)).select("repo", "path").distinct()
+    return files.where(suffix().isin(R.CERTIFICATES)).select("repo", "path").distinct()
 
 
 def credential_paths(findings: DataFrame) -> DataFrame:

@@ -194,6 +194,11 @@ def frameworks(spark, d):
     return architecture.frameworks(code(spark, d).select("repo", "path", "ext", "content").unionByName(files))
 
 
+@query(f"select *, case when {S.sure()} then 0.9 else 0.75 end as confidence from ({S.all_frameworks()})")
+def framework_confidence(spark, d):
+    return architecture.with_confidence(frameworks(spark, d), F.col("repo"))
+
+
 @query(S.kinds())
 def project_types(spark, d):
     return architecture.project_type(code(spark, d))
@@ -231,17 +236,18 @@ def measured_quality(spark, d):
 
 @query()
 def file_metrics(spark, d):
-    return quality.file_metrics(code(spark, d)).select("repo", "path", "loc", "complexity", "maintainability", "unused", "issues")
+    return quality.file_metrics(code(spark, d), most_bytes=None).select("repo", "path", "loc", "complexity", "maintainability", "unused", "issues")
 
 
 @query()
 def large_units(spark, d):
-    return quality.large_units(quality.file_metrics(code(spark, d)))
+    """Functions over 15 lines and classes over 25, as the files of the tables are short; all sizes of files are measured."""
+    return quality.large_units(quality.file_metrics(code(spark, d), most_bytes=None, function=15, class_=25))
 
 
 @query()
 def project_quality(spark, d):
-    return quality.project_quality(quality.file_metrics(code(spark, d)))
+    return quality.project_quality(quality.file_metrics(code(spark, d), most_bytes=None))
 
 
 @query(S.DEPENDENCIES + " select repo, path, manager, name, version from deps")
@@ -295,7 +301,7 @@ def security_score(spark, d):
 @query()
 def audit(spark, d):
     found = scan.history_secrets(history.described(commits(spark, d)), "message")
-    return report.audit(code(spark, d), found)
+    return report.audit(code(spark, d), found, most_characters=None, most_bytes=None)
 
 
 @query()
@@ -320,7 +326,7 @@ _QUICK = " union all ".join(f"select repo, path, line_no, rule_type, severity, {
 def quick_scan(spark, d):
     """Both scans over the snippets of both tables of findings."""
     both = contexts(spark, d).unionByName(snippets(spark, d))
-    return report.quick_scan(both).select("repo", "path", "line_no", "rule_type", "severity", "scanner").distinct()
+    return report.quick_scan(both, None).select("repo", "path", "line_no", "rule_type", "severity", "scanner").distinct()
 
 
 @query()
@@ -338,6 +344,11 @@ def p4_large_commits(spark, d):
     return nested.children_table(table(spark, d, "analysis_results"), nested.LARGE_COMMIT)
 
 
+@query()
+def p4_results(spark, d):
+    return nested.results_table(table(spark, d, "analysis_results"))
+
+
 @query()
 def p4_traces(spark, d):
     return nested.grandchildren_table(table(spark, d, "analysis_results"), nested.FINDING)

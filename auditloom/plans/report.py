@@ -179,10 +179,11 @@ def _of(column: str, *kinds: str) -> Column:
     return F.size(F.filter(column, lambda k: k.isin(*kinds)))
 
 
-def _measured(files: DataFrame) -> DataFrame:
+def _measured(files: DataFrame, most: int | None) -> DataFrame:
     """One row a file with all that is counted of it: one pass over the texts, and a shuffle of numbers that drops repeated files."""
-    texts = files.where(scan.is_scanned()).select("repo", "path", line_array(F.col("content")).alias("lines"))
-    kinds = texts.select("repo", "path", _kinds(F.col("lines"), rules.SECRET_RULES).alias("s"), _kinds(F.col("lines"), rules.VULNERABILITY_RULES).alias("v"), _kinds(F.col("lines"), rules.PERFORMANCE_RULES).alias("p"))
+    read = lambda scanner: F.when(scan.is_scanned(most, scanner), F.col("lines")).otherwise(F.expr("cast(array() as array<string>)"))
+    texts = files.where("content is not null").select("repo", "path", "content", line_array(F.col("content")).alias("lines"))
+    kinds = texts.select("repo", "path", _kinds(read("secrets"), rules.SECRET_RULES).alias("s"), _kinds(read("vulnerabilities"), rules.VULNERABILITY_RULES).alias("v"), _kinds(read("performance"), rules.PERFORMANCE_RULES).alias("p"))
     severe = lambda level: _of("v", *(r.kind for r in rules.VULNERABILITY_RULES if r.severity == level)).alias(level)
     counted = kinds.select(
         "repo", "path", F.size("s").alias("secrets"), severe("critical"), severe("high"), severe("medium"), _of("v", "SQL Injection").alias("sql_injection"),
@@ -191,19 +192,21 @@ def _measured(files: DataFrame) -> DataFrame:
     return counted.dropDuplicates(["repo", "path"])
 
 
-def audit(files: DataFrame, commits: DataFrame | None = None, branches: DataFrame | None = None, now: Column | None = None, directories: DataFrame | None = None, advisories: DataFrame | None = None) -> DataFrame:
+def audit(files: DataFrame, commits: DataFrame | None = None, branches: DataFrame | None = None, now: Column | None = None, directories: DataFrame | None = None, advisories: DataFrame | None = None, most_characters: int | None = scan.MOST_CHARACTERS, most_bytes: int | None = quality.MOST_BYTES) -> DataFrame:
     """One row a repository: counts of every part, scores, overall and rating. Parts without data count 0.
 
     `advisories` (name, vulnerable, deprecated: booleans) tells of dependencies what is known of them, by name.
 
+    `most_characters` and `most_bytes` (None: any) are the sizes up to which files are scanned and measured.
+
     The texts are read by five passes (rules, metrics, duplicated lines, frameworks, kind of project), none of which shuffles
     a text; everything that is joined is one row a repository.
     """
     paths = files.select("repo", "path", "ext", "size").distinct()
-    metrics = quality.file_metrics(files)
+    metrics = quality.file_metrics(files, most_bytes)
     count = lambda df, name: df.groupBy("repo").agg(F.count("*").alias(name))
     units = lambda kind: F.sum(F.size(F.filter("large", lambda u: u["kind"] == kind)))
-    found = _measured(files)
+    found = _measured(files, most_characters)
     named = architecture.languages(paths).groupBy("repo").agg(F.count("*").alias("languages"), F.min_by("language", F.struct(-F.col("file_count"), "language")).alias("language"))
     parts = [
         named,
@@ -212,7 +215,7 @@ def audit(files: DataFrame, commits: DataFrame | None = None, branches: DataFram
         architecture.project_type(files, directories),
         quality.project_quality(metrics).select("repo", "complexity", "maintainability", "unused", "debt_hours", F.col("loc").alias("total_loc")),
         metrics.groupBy("repo").agg(units("function").alias("large_functions"), units("class").alias("large_classes")),
-        lines.duplication(files.where(quality.is_source())).select("repo", F.col("percent").alias("duplication")),
+        lines.duplication(files.where(quality.is_source(most_bytes))).select("repo", F.col("percent").alias("duplication")),
         count(lines.large_files(paths), "large_files"),
         count(lines.heavy_media(paths), "heavy_media"),
         count(scan.sensitive_files(paths), "sensitive"),
@@ -237,10 +240,10 @@ def audit(files: DataFrame, commits: DataFrame | None = None, branches: DataFram
     return scores(_filled(row.withColumn("framework_names", F.coalesce("framework_names", F.expr("cast(array() as array<string>)")))))
 
 
-def quick_scan(files: DataFrame) -> DataFrame:
+def quick_scan(files: DataFrame, most: int | None = scan.MOST_CHARACTERS) -> DataFrame:
     """The secret and vulnerability findings of all files in one table, by `scanner`."""
-    read = scan.scannable(files)
-    return scan.secrets(read).withColumn("scanner", F.lit("secrets")).unionByName(scan.vulnerabilities(read).withColumn("scanner", F.lit("vulnerabilities")))
+    of = lambda scanner: scan.scannable(files, most, scanner)
+    return scan.secrets(of("secrets")).withColumn("scanner", F.lit("secrets")).unionByName(scan.vulnerabilities(of("vulnerabilities")).withColumn("scanner", F.lit("vulnerabilities")))
 
 
 def write(row: DataFrame, folder: str) -> None:
@@ -258,14 +261,20 @@ def diagram(layers: list[str], frameworks: list[str]) -> str:
     return "\n".join(out)
 
 
-def render(row: Row, advice: list[Row], layers: list[str] = (), frameworks: list[str] = ()) -> str:
-    """The report of one repository as Markdown: score, parts, what to do, diagram."""
+SHOWN = 20  # findings of a scanner that the Markdown report lists
+
+
+def render(row: Row, advice: list[Row], layers: list[str] = (), frameworks: list[str] = (), findings: dict[str, list[Row]] | None = None) -> str:
+    """The report of one repository as Markdown: score, parts, what to do, the first findings of each scanner, diagram."""
     bar = lambda s: "█" * int(s) + "░" * (10 - int(s))
     out = [f"# {row.repo}", "", f"**{row.overall} of 100** ({row.rating}), {row.project_type}, mainly {row.language}", "", "| Part | Score | |", "|-|-|-|"]
     out += [f"| {n} | {row[f'score_{n}']} | {bar(row[f'score_{n}'])} |" for n in WEIGHTS]
     for level in ("critical", "important", "recommendation"):
         said = [a.title for a in sorted(advice, key=lambda a: a["rank"]) if a.level == level]
         out += ["", f"## {level.capitalize()}", "", *(f"- {t}" for t in said)] if said else []
+    for scanner, found in (findings or {}).items():
+        listed = [f"- {f.severity}: {f.rule_type}, `{f.path}` line {f.line_no}" for f in found[:SHOWN]]
+        out += ["", f"## {scanner.capitalize()}", "", *listed, *([f"- and {len(found) - SHOWN} more"] if len(found) > SHOWN else [])] if found else []
     return "\n".join([*out, "", "```mermaid", diagram(list(layers), list(frameworks)), "```", ""])
 
 

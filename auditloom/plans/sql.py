@@ -102,6 +102,10 @@ def all_frameworks() -> str:
     return base + f"found as ({' union all '.join(found)}) select repo, framework, case min(rank) when 1 then 'manifest' when 2 then 'import' else 'suffix' end as evidence from found group by repo, framework"
 
 
+def sure() -> str:
+    return " or ".join(f"framework = {text(n)} and ({' or '.join(f'contains(repo, {text(w)})' for w in words[0])})" for n, words in A.FRAMEWORKS.items())
+
+
 def kinds() -> str:
     """The kind of project with most points, ties in the order of the kinds."""
     has = lambda *names: "(" + " or ".join(f"list_contains(dirs, {text(x)})" for x in names) + ")"

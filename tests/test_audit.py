@@ -192,3 +192,60 @@ def test_no_prefix_of_the_files(corpus):
 def test_every_match_of_a_wide_rule(corpus):
     loop = "x = 1\nfor u in users:\n    requests.fetch(u)\n"
     assert rows(scan.performance_wide(corpus({"a.py": loop * 3})), "line_no", "rule_type") == [(2, "Expensive Loop"), (5, "Expensive Loop"), (8, "Expensive Loop")]
+
+
+def test_no_text_is_shuffled(spark):
+    """The keys and rows of every exchange hold numbers, paths and hashes; texts stay in their task."""
+    import __spark_entry__ as entry
+
+    data = "/root/testdata/sf0.001"
+    if not __import__("os").path.isdir(data):
+        pytest.skip("no test data")
+    queries = entry.core.QUERIES
+    for name in ("secret_scan", "vulnerability_scan", "loc_per_file", "project_loc", "duplication", "languages", "large_files", "frameworks", "project_types", "script_complexity", "file_metrics", "project_quality", "history_secrets", "security_score", "audit"):
+        plan = queries[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+        for line in plan.split("\n"):
+            if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line:
+                assert "content#" not in line and "lines#" not in line, (name, line)
+
+
+def test_scanners_leave_out_their_own(corpus):
+    files = corpus({"a.min.js": "password = 'hunter22'\neval(request.x)\n", "b.lock": "rows = Item.objects.all()\n", "c.png": "password = 'hunter22'\n"})
+    paths = lambda scanner: [r[0] for r in rows(scan.scannable(files, None, scanner), "path")]
+    assert paths("secrets") == ["a.min.js", "b.lock"] and paths("vulnerabilities") == ["b.lock"] and paths("performance") == [] and paths(None) == []
+
+
+def test_advice_is_of_the_rule(corpus):
+    found = scan.with_advice(scan.secrets(corpus(LEAKED)), R.SECRET_RULES)
+    assert {r.rule_type: r.recommendation for r in found.collect()} == {r.kind: r.advice for r in R.SECRET_RULES if r.kind in ("API Key", "OpenAI API Key", "AWS Access Key")}
+    assert all(r.meaning and r.advice for c in (R.SECRET_RULES, R.VULNERABILITY_RULES, R.WIDE_PERFORMANCE_RULES) for r in c)
+
+
+def test_recommendations(spark, corpus):
+    big = {"app.py": "x = 1\n" * 60_000, "a.js": "import React from 'react'\nrequire('express')\n"}
+    row = report.audit(corpus(big, CLEAN), most_bytes=None)
+    found = report.recommendations(row)
+    assert {("r", "medium"), ("r", None), ("r", "high")} <= {(r.repo, r.severity) for r in found.where("area = 'architecture'").collect()}
+    titles = [r[0] for r in rows(found.where("repo = 'r'"), "title")]
+    assert any(t.startswith("60002 lines") for t in titles) and any(t.startswith("React beside") for t in titles)
+    summary = {r.repo: r for r in report.recommendation_summary(found).collect()}
+    assert summary["s"].critical == 0 and summary["s"].recommended == ["Tests: no framework for them was found"] and len(summary["r"].recommended) <= 3
+    merged = [r[0] for r in rows(report.priorities(row).where("repo = 's'"), "title")]
+    assert merged == ["Tests: no framework for them was found"]
+
+
+def test_advisories(spark, corpus):
+    known = spark.createDataFrame([("flask", True, False), ("requests", False, True), ("none", True, True)], "name string, vulnerable boolean, deprecated boolean")
+    (row,) = report.audit(corpus({"requirements.txt": "flask==1\nrequests==2\n"}), advisories=known).collect()
+    assert (row.vulnerable, row.deprecated, row.score_dependencies) == (1, 1, 6.5)
+
+
+def test_limits_of_reports(spark, corpus):
+    long = {f"f{i:02}.py": f"def f{i}():\n" + "    x = 1\n" * 60 for i in range(25)}
+    metrics = quality.file_metrics(corpus(long))
+    assert quality.large_units(metrics).count() == 25 and [r[0] for r in rows(quality.listed_units(metrics), "name")][-1] == "f9" and quality.listed_units(metrics).count() == 20
+    commits = spark.createDataFrame([("r", "a", i) for i in range(5)] + [("r", "b", i) for i in range(5, 9)], "repo string, author string, seq int")
+    assert rows(history.top_contributors(commits)) == [("r", "a", 5), ("r", "b", 4)]
+    assert rows(history.top_contributors(commits, counted=6, order=[F.desc("seq")])) == [("r", "a", 2), ("r", "b", 4)]
+    sure = architecture.with_confidence(spark.createDataFrame([("r", "Flask", "x"), ("r", "React", "x")], "repo string, framework string, evidence string"), F.lit("/src/flask-app"))
+    assert rows(sure, "framework", "confidence") == [("Flask", 0.9), ("React", 0.75)]

@@ -60,3 +60,9 @@ entry = st.one_of(st.none(), st.fixed_dictionaries({}, optional={"file_path": st
 def test_against_brute_force(spark, lists):
     expected = [(i, "finding", p, (e.get("file_path") or "")) for i, entries in enumerate(lists) for p, e in enumerate(entries) if e is not None]
     assert links(spark, *(record(x) for x in lists)) == sorted(expected, key=str)
+
+
+def test_results(spark):
+    texts = [(1, '{"vulnerabilities": {"findings": [{"file_path": "a"}, null]}, "git": {"large_commits": []}}'), (1, '{"vulnerabilities": {"findings": [{"file_path": "a"}, null]}, "git": {"large_commits": []}}'), (2, "{}"), (3, None), (4, "{cut")]
+    df = spark.createDataFrame(texts, "result_id long, result string")
+    assert rows(nested.results_table(df)) == [(1, 1, 0), (2, 0, 0)] and nested.results_table(df.limit(0)).count() == 0
