@@ -6,8 +6,9 @@
    reaches `COSINE`: only the rarest n-grams of a key, those whose rest has a norm under it, can be the first in common, so
    only they are joined, which loses no pair.
 3. Each joined pair is compared part by part: equal, mistyped, short for, initial of. Different given names rule it out.
-4. Average linkage over these scores (absent pairs count 0) by rounds of mutual nearest neighbours, which give the same
-   clusters as merging one pair at a time, down to `LINK`.
+4. Average linkage over these scores (absent pairs count 0), down to `LINK`. A merge needs a score of `LINK` or more, so
+   no cluster leaves a connected component of these: components of up to `LOCAL` scores are each merged in one task, larger
+   ones by rounds of mutual nearest clusters over tables, which give the same clusters, until a round merges none.
 
 Null, blank and shared accounts are no spellings. Names are compared whole, whatever their length. Repeated rows count once.
 """
@@ -19,16 +20,21 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.session import cut
+from auditloom.llm.components import components
+from auditloom.session import cut, spread
 
 GRAM = 3
 COSINE = 0.25
 LINK = 0.45
+LOCAL = 200_000  # scores of a component that one task merges (some 20 MB)
+HOT = 2_000  # keys with an n-gram from which its pairs are split over several tasks
+PARTNERS = 8  # parts beside which a given name stands at least
 
 # Accounts that many people use.
 SHARED = set("release-bot jenkins root unknown".split())
@@ -234,7 +240,8 @@ def score(a: str, b: str, known: set[str]) -> float:
         return best
     if len(x) == 1:
         d = distance(x[0], y[0], 1)
-        return (1.0, 0.85, 0.0)[d] if len(x[0]) >= 6 else float(a == b)
+        slip = 0.85 if x[0][:1] == y[0][:1] else 0.3  # another first letter is another initial rather than a slip
+        return (1.0, slip, 0.0)[d] if len(x[0]) >= 6 else float(a == b)
     long_x, long_y = [p for p in x if len(p) > 1], [p for p in y if len(p) > 1]
     if len(long_x) >= 2 and len(long_y) >= 2:  # middle initials count only if they are all there is
         x, y = sorted((long_x, long_y), key=len)
@@ -252,15 +259,25 @@ def score(a: str, b: str, known: set[str]) -> float:
     return math.exp(total) * (0.55 if any(len(r) > 1 for r in rest) else 1.0)
 
 
+def given_first(name: str, parts: str) -> str | None:
+    """The part of a key of two that its spelling puts first, if it is written in plain order."""
+    both = parts.split(" ")
+    if len(both) != 2 or "," in name or "@" in name:
+        return None
+    words = (key(name.strip().split()[0]) or "").split(" ")
+    return words[0] if len(words) == 1 and words[0] in both else None
+
+
 def nodes(spellings: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """((spelling, key) of each distinct spelling that counts, (node, key, grams) of each distinct key)."""
+    """((spelling, key, first) of each distinct spelling that counts, (node, key, grams) of each distinct key)."""
 
-    @F.pandas_udf("string")
-    def keyed(names: pd.Series) -> pd.Series:
-        return names.map(lambda n: key(n) if isinstance(n, str) else None)
+    @F.pandas_udf("key string, first string")
+    def keyed(names: pd.Series) -> pd.DataFrame:
+        keys = [key(n) if isinstance(n, str) else None for n in names]
+        return pd.DataFrame({"key": keys, "first": [k and given_first(n, k) for n, k in zip(names, keys)]}, dtype=object)
 
     distinct = spellings.select(F.col(name).alias("spelling")).where("spelling is not null").distinct()
-    keys = cut(distinct.withColumn("key", keyed("spelling")).where("key is not null"))
+    keys = cut(distinct.withColumn("k", keyed("spelling")).select("spelling", "k.key", "k.first").where("key is not null"))
     padded = F.transform(F.split("key", " "), lambda p: F.concat(F.lit("^"), p, F.lit("$")))
     grams = F.flatten(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - GRAM + 1, F.lit(1))), lambda i: F.substring(p, i, F.lit(GRAM)))))
     return keys, keys.select("key").distinct().select(F.xxhash64("key").alias("node"), "key", F.array_distinct(grams).alias("grams"))
@@ -278,27 +295,34 @@ def cosine_pairs(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
     """(a, b, cosine) of each pair of nodes a < b at or over the threshold, exactly."""
     rarest = Window.partitionBy("node").orderBy("count", "gram")
     rest = F.sum(F.col("weight") * F.col("weight")).over(rarest.rowsBetween(0, Window.unboundedFollowing))
-    prefix = vectors.withColumn("rest", rest).where(F.col("rest") >= threshold * threshold).select("node", "gram")
-    a, b = prefix.withColumnRenamed("node", "a"), prefix.withColumnRenamed("node", "b")
-    pairs = a.join(b, "gram").where("a < b").select("a", "b").distinct()
+    split = F.ceil(F.col("count") / HOT).cast("int")  # the one side of a frequent n-gram is dealt out, the other goes to each share
+    prefix = vectors.withColumn("rest", rest).where(F.col("rest") >= threshold * threshold).select("node", "gram", split.alias("split"))
+    a = prefix.select(F.col("node").alias("a"), "gram", F.pmod(F.xxhash64("node"), F.col("split")).cast("int").alias("share"))
+    b = prefix.select(F.col("node").alias("b"), "gram", F.explode(F.sequence(F.lit(0), F.col("split") - 1)).alias("share"))
+    pairs = a.join(b, ["gram", "share"]).where("a < b").select("a", "b").distinct()
     whole = vectors.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("v"))
     both = pairs.join(whole.select(F.col("node").alias("a"), F.col("v").alias("va")), "a").join(whole.select(F.col("node").alias("b"), F.col("v").alias("vb")), "b")
     dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("vb"), e["key"]), F.lit(0.0)))
     return both.select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= threshold)
 
 
-def given_names(nodes: DataFrame, partners: int = 8) -> DataFrame:
-    """(part, given): the parts that stand beside at least `partners` others in names of two parts."""
+def given_names(keys: DataFrame, partners: int = PARTNERS) -> DataFrame:
+    """(part, given): the parts that stand beside at least `partners` others in names of two, and oftener first than last.
+
+    Frequent family names stand beside many others too, but last; so the measure does not depend on how many people there are.
+    """
     parts = F.split("key", " ")
-    pairs = nodes.where(F.size(parts) == 2).select(parts[0].alias("x"), parts[1].alias("y")).where("length(x) > 1 and length(y) > 1")
-    both = pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    return both.groupBy(F.col("x").alias("part")).agg(F.count("*").alias("n")).where(F.col("n") >= partners).select("part", F.lit(True).alias("given"))
+    two = keys.where(F.size(parts) == 2)
+    pairs = two.select("key", parts[0].alias("x"), parts[1].alias("y"), "first")
+    both = pairs.unionByName(pairs.select("key", F.col("y").alias("x"), F.col("x").alias("y"), "first")).where("length(x) > 1 and length(y) > 1")
+    counted = both.groupBy(F.col("x").alias("part")).agg(F.countDistinct("key").alias("n"), F.count_if(F.col("first") == F.col("x")).alias("begins"), F.count_if(F.col("first") == F.col("y")).alias("ends"))
+    return counted.where((F.col("n") >= partners) & (F.col("begins") >= F.col("ends"))).select("part", F.lit(True).alias("given"))
 
 
-def scored(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def scored(pairs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
     """(a, b, score) of the pairs whose names agree part by part."""
     part = nodes.select("node", F.explode(F.split("key", " ")).alias("part"))
-    known = part.join(given_names(nodes), "part").groupBy("node").agg(F.collect_set("part").alias("known"))
+    known = part.join(given_names(keys), "part").groupBy("node").agg(F.collect_set("part").alias("known"))
     named = nodes.select("node", "key").join(known, "node", "left")
     side = lambda x: named.select(F.col("node").alias(x), F.col("key").alias(f"key_{x}"), F.col("known").alias(f"known_{x}"))
 
@@ -308,39 +332,93 @@ def scored(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             out = rows[["a", "b"]].assign(score=values)
             yield out[out.score > 0]
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "key_a", "key_b", "known_a", "known_b").mapInPandas(judge, "a long, b long, score double")
+    both = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "key_a", "key_b", "known_a", "known_b"))
+    return spread(both).mapInPandas(judge, "a long, b long, score double")
+
+
+def merge(edges: list[tuple[int, int, float]], least: float = LINK) -> dict[int, int]:
+    """{node: cluster} by average linkage over the scores of one component, one merge at a time, the best first, ties by number."""
+    near: dict[int, dict[int, float]] = {}
+    for a, b, score in edges:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = score
+    size = dict.fromkeys(near, 1)
+    cluster = {n: [n] for n in near}
+    heap = [(-round(s, 9), a, b, 1, 1) for a, x in near.items() for b, s in x.items() if a < b and s >= least]
+    heapify(heap)
+    while heap:
+        _, a, b, size_a, size_b = heappop(heap)
+        if size.get(a) != size_a or size.get(b) != size_b:
+            continue  # of clusters that are no more
+        mine, other = near[a], near.pop(b)
+        mine.pop(b), other.pop(a)
+        for c, total in other.items():
+            mine[c] = mine.get(c, 0.0) + total
+            del near[c][b]
+        cluster[a] += cluster.pop(b)
+        size[a] += size.pop(b)
+        for c, total in mine.items():
+            near[c][a] = total
+            mean = total / (size[a] * size[c])
+            if mean >= least:
+                heappush(heap, (-round(mean, 9), min(a, c), max(a, c), size[min(a, c)], size[max(a, c)]))
+    return {n: min(members) for members in cluster.values() for n in members}
+
+
+def average_linkage(edges: DataFrame, least: float = LINK, local: int = LOCAL) -> DataFrame:
+    """(node, cluster) of every node of `edges` (a, b, score): average linkage, absent pairs counting 0.
+
+    A cluster is known by its least node. Components of the scores of `least` or more with up to `local` scores are grouped
+    into one task each; the scores of larger ones stay tables. Nodes without such a score are clusters of their own.
+    """
+    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score"))
+    labels = cut(components(edges.where(F.col("score") >= least)))
+    label = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    inside = edges.join(label("a"), "a").join(label("b"), "b").where("of_a = of_b").select("a", "b", "score", F.col("of_a").alias("component"))
+    inside = cut(inside)
+    large = cut(inside.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > local).select("component"))
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        found = merge(list(zip(rows.a.tolist(), rows.b.tolist(), rows.score.tolist())), least)
+        return pd.DataFrame({"node": list(found), "cluster": list(found.values())}, dtype="int64")
+
+    parts = inside.join(large, "component", "left_anti").groupBy("component").applyInPandas(one, "node long, cluster long")
+    if not large.isEmpty():
+        parts = parts.unionByName(by_rounds(inside.join(large, "component", "left_semi").drop("component"), least))
+    alone = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels.select("node"), "node", "left_anti")
+    return parts.unionByName(alone.select("node", F.col("node").alias("cluster")))
 
 
-def average_linkage(edges: DataFrame, least: float = LINK, rounds: int = 60) -> DataFrame:
-    """(node, cluster) of every node of `edges` (a, b, score): average linkage, by rounds in which mutual nearest clusters merge.
+def by_rounds(edges: DataFrame, least: float = LINK) -> DataFrame:
+    """(node, cluster) as `average_linkage`, by rounds in which mutual nearest clusters merge, until a round merges none.
 
-    A cluster is known by its least node. Ties are broken by a hash of the pair and the round, so that equal groups halve.
-    Each round is written to the shared folder, one row a pair of clusters; nothing is gathered.
+    Ties are broken by a hash of the pair and the round, so that equal groups halve. Each round is written to the shared
+    folder, one row a pair of clusters; nothing is gathered.
     """
     linked = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("score").alias("total")))
     members = cut(linked.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("cluster", F.col("node")))
     sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
-    for number in range(rounds):
+    number = -1
+    while True:
+        number += 1
         size = lambda x: sizes.select(F.col("cluster").alias(x), F.col("size").alias(f"size_{x}"))  # noqa: E731,B023
         mean = linked.join(size("a"), "a").join(size("b"), "b").select("a", "b", (F.col("total") / (F.col("size_a") * F.col("size_b"))).alias("mean")).where(F.col("mean") >= least)
         ranked = mean.withColumn("order", F.struct((-F.round("mean", 9)).alias("m"), F.xxhash64("a", "b", F.lit(number)).alias("h"), "a", "b"))
         best = ranked.select(F.explode(F.array("a", "b")).alias("cluster"), "order").groupBy("cluster").agg(F.min("order").alias("best"))
         merged = cut(best.groupBy("best").agg(F.count("*").alias("n")).where("n = 2").select(F.col("best.b").alias("old"), F.col("best.a").alias("new")))
         if merged.isEmpty():
-            break
+            return members
         renamed = lambda df, x: df.join(merged.withColumnRenamed("old", x), x, "left").withColumn(x, F.coalesce("new", x)).drop("new")  # noqa: E731,B023
         members = cut(renamed(members, "cluster"))
         sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
         moved = renamed(renamed(linked, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total")
         linked = cut(moved.groupBy("a", "b").agg(F.sum("total").alias("total")))
-    return members
 
 
 def entities(df: DataFrame, name: str) -> DataFrame:
     """(spelling, entity): each distinct spelling that counts and the entity it denotes."""
     keys, found = nodes(df, name)
     found = cut(found)
-    pairs = scored(cosine_pairs(cut(vectors(found))), found)
+    pairs = scored(cosine_pairs(cut(vectors(found))), found, keys)
     clusters = average_linkage(pairs)
     known = found.select("node", "key").join(clusters, "node", "left").select("key", F.coalesce("cluster", "node").alias("entity"))
     return keys.join(known, "key").select("spelling", "entity")

@@ -68,10 +68,34 @@ def test_average_linkage(spark):
             break
         clusters[best[1]] |= clusters.pop(best[2])
     df = spark.createDataFrame([(a, b, s) for (a, b), s in edges.items()], "a long, b long, score double")
-    out: dict = {}
-    for r in names.average_linkage(df).collect():
-        out.setdefault(r.cluster, set()).add(r.node)
-    assert sorted(map(sorted, out.values())) == sorted(map(sorted, clusters))
+    for local in (names.LOCAL, 0):  # in one task, and by rounds
+        out: dict = {}
+        for r in names.average_linkage(df, local=local).collect():
+            out.setdefault(r.cluster, set()).add(r.node)
+        assert sorted(map(sorted, out.values())) == sorted(map(sorted, clusters))
+
+
+def test_many_spellings_round_a_hub():
+    """One merge at a time, each with the hub: no number of rounds ends it."""
+    edges = [(0, i, 0.9) for i in range(1, 100)] + [(i, j, 0.6) for i in range(1, 100) for j in range(i + 1, 100)]
+    assert set(names.merge(edges).values()) == {0}
+    assert set(names.merge([(0, i, 0.9) for i in range(1, 5)]).values()) == {0, 3, 4}
+
+
+def test_frequent_grams_are_split(spark, monkeypatch):
+    df = spark.createDataFrame([(f"Smith {x}{y}olu",) for x in "bdfgk" for y in "aeiou"], "author string")
+    _, nodes = names.nodes(df, "author")
+    whole = rows(names.cosine_pairs(names.vectors(nodes), 0.05))
+    monkeypatch.setattr(names, "HOT", 3)
+    assert len(whole) > 100 and [r[:2] for r in rows(names.cosine_pairs(names.vectors(nodes), 0.05))] == [r[:2] for r in whole]
+
+
+def test_family_names_of_many(spark):
+    people = [f"{g} Hartmond" for g in "Robert Ingrid Kenji Dolores Priya Sergei Fatima Olivia Ulrich Yolanda".split()] + [f"Robert {f}" for f in "Talume Bosirek Gamulon Pitaren Kadesso Morviel Sunetar Lobrack Vinterol".split()]
+    found = groups(spark, *people, "R. Talume", "Bob Hartmond", "hartmond.ingrid")
+    assert ["Bob Hartmond", "Robert Hartmond"] in found and ["Ingrid Hartmond", "hartmond.ingrid"] in found and ["R. Talume", "Robert Talume"] in found
+    keys, _ = names.nodes(spark.createDataFrame([(p,) for p in people], "author string"), "author")
+    assert rows(names.given_names(keys), "part") == [("robert",)]
 
 
 def test_distance_and_score():
