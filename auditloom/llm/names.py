@@ -173,10 +173,23 @@ def key(name: str | None) -> str | None:
     return " ".join(sorted(kept or parts)) or None
 
 
+@lru_cache(500_000)
 def distance(a: str, b: str, most: int = 2) -> int:
     """Edits between two words, swapped neighbours as one; most + 1 when there are more."""
-    if abs(len(a) - len(b)) > most:
+    if a == b:
+        return 0
+    # an edit changes the set of letters by two at most
+    if abs(len(a) - len(b)) > most or len(set(a) ^ set(b)) > 2 * most:
         return most + 1
+    start, end = 0, 0
+    least = min(len(a), len(b))
+    while start < least and a[start] == b[start]:
+        start += 1
+    while end < least - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not a or not b:
+        return min(max(len(a), len(b)), most + 1)
     before: list[int] = []
     last = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -186,6 +199,8 @@ def distance(a: str, b: str, most: int = 2) -> int:
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 d = min(d, before[j - 2] + 1)
             row.append(d)
+        if min(row) > most and min(last) > most:
+            return most + 1
         before, last = last, row
     return min(last[-1], most + 1)
 
