@@ -2,9 +2,9 @@
 
 1. Every distinct spelling is brought to a key: mis-decoded letters restored, address and remark taken off, letters folded,
    legal forms and order dropped. Equal keys are one node.
-2. Keys become unit vectors of character n-grams, weighted by rarity over all keys. A pair of keys is joined if its cosine
-   reaches `COSINE`: only the rarest n-grams of a key, those whose rest has a norm under it, can be the first in common, so
-   only they are joined, which loses no pair.
+2. Keys become unit vectors of character n-grams, weighted by rarity over all keys. The vectors are joined n-gram by n-gram
+   and the products summed; a pair of keys goes on if its cosine reaches `COSINE`, however many partners a key has. Keys are
+   short, so no n-gram of a key could be left out of the join without losing pairs.
 3. Each joined pair is compared part by part: equal, mistyped, short for, initial of. Different given names rule it out.
 4. Average linkage over these scores (absent pairs count 0), down to `LINK`. A merge needs a score of `LINK` or more, so
    no cluster leaves a connected component of these: components of up to `LOCAL` scores are each merged in one task, larger
@@ -307,18 +307,12 @@ def vectors(nodes: DataFrame) -> DataFrame:
 
 
 def cosine_pairs(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
-    """(a, b, cosine) of each pair of nodes a < b at or over the threshold, exactly."""
-    rarest = Window.partitionBy("node").orderBy("count", "gram")
-    rest = F.sum(F.col("weight") * F.col("weight")).over(rarest.rowsBetween(0, Window.unboundedFollowing))
+    """(a, b, cosine) of each pair of nodes a < b at or over the threshold, exactly: the products of n-gram by n-gram, summed."""
     split = F.ceil(F.col("count") / HOT).cast("int")  # the one side of a frequent n-gram is dealt out, the other goes to each share
-    prefix = vectors.withColumn("rest", rest).where(F.col("rest") >= threshold * threshold).select("node", "gram", split.alias("split"))
-    a = prefix.select(F.col("node").alias("a"), "gram", F.pmod(F.xxhash64("node"), F.col("split")).cast("int").alias("share"))
-    b = prefix.select(F.col("node").alias("b"), "gram", F.explode(F.sequence(F.lit(0), F.col("split") - 1)).alias("share"))
-    pairs = a.join(b, ["gram", "share"]).where("a < b").select("a", "b").distinct()
-    whole = vectors.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("v"))
-    both = pairs.join(whole.select(F.col("node").alias("a"), F.col("v").alias("va")), "a").join(whole.select(F.col("node").alias("b"), F.col("v").alias("vb")), "b")
-    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("vb"), e["key"]), F.lit(0.0)))
-    return both.select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= threshold)
+    a = vectors.select(F.col("node").alias("a"), "gram", F.col("weight").alias("wa"), F.pmod(F.xxhash64("node"), split).cast("int").alias("share"))
+    b = vectors.select(F.col("node").alias("b"), "gram", F.col("weight").alias("wb"), F.explode(F.sequence(F.lit(0), split - 1)).alias("share"))
+    products = a.join(b, ["gram", "share"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
+    return products.where(F.col("cosine") >= threshold)
 
 
 def given_names(keys: DataFrame, partners: int = PARTNERS) -> DataFrame:
