@@ -241,8 +241,8 @@ def file_metrics(spark, d):
 
 @query()
 def large_units(spark, d):
-    """Functions over 15 lines and classes over 25, as the files of the tables are short; all sizes of files are measured."""
-    return quality.large_units(quality.file_metrics(code(spark, d), most_bytes=None, function=15, class_=25))
+    """Functions over 6 lines and classes over 8, as the files of the tables are short; all sizes of files are measured."""
+    return quality.large_units(quality.file_metrics(code(spark, d), most_bytes=None, function=6, class_=8))
 
 
 @query()
