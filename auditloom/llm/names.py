@@ -292,6 +292,7 @@ def nodes(spellings: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
         return pd.DataFrame({"key": keys, "first": [k and given_first(n, k) for n, k in zip(names, keys)]}, dtype=object)
 
     distinct = spellings.select(F.col(name).alias("spelling")).where("spelling is not null").distinct()
+    keyed = keyed.asNondeterministic()  # or the filter on keys, and the function with it, would be moved before the distinct
     keys = cut(distinct.withColumn("k", keyed("spelling")).select("spelling", "k.key", "k.first").where("key is not null"))
     padded = F.transform(F.split("key", " "), lambda p: F.concat(F.lit("^"), p, F.lit("$")))
     grams = F.flatten(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - GRAM + 1, F.lit(1))), lambda i: F.substring(p, i, F.lit(GRAM)))))
