@@ -435,6 +435,8 @@ def _python_kind(token: str):
     """A terminal, the list of them for a string with fields, or the widths of the indentation after a line's end."""
     if token in PYTHON_DEPTH:
         return token
+    if token == "\ufeff":  # a mark of the byte order within a text
+        return UNKNOWN
     if token.isidentifier():
         return token if token in PYTHON_WORDS else "ID"
     if len(token) > 1 and token[0] == token[-1] and token[0] in "\"'" and "\\" not in token:
