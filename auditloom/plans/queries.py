@@ -12,7 +12,7 @@ from auditloom.operators import architecture, history, lines, manifests, nested,
 from auditloom.plans import report
 from auditloom.plans import rules as R
 from auditloom.plans import sql as S
-from auditloom.session import table
+from auditloom.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,7 +33,7 @@ def query(sql: str | None = None):
 
 def code(spark: SparkSession, d: str) -> DataFrame:
     """The source files as delivered; operators drop repeated rows after their pass over the texts, so that no text is shuffled."""
-    return table(spark, d, "source_files").select("repo", F.col("file_path").alias("path"), "name", "ext", "size", "content")
+    return spread(table(spark, d, "source_files").select("repo", F.col("file_path").alias("path"), "name", "ext", "size", "content"))
 
 
 def _snippets(df: DataFrame, column: str) -> DataFrame:
