@@ -2,10 +2,11 @@
 
 1. Every distinct spelling is brought to a key: mis-decoded letters restored, address and remark taken off, letters folded,
    legal forms and order dropped. Equal keys are one node.
-2. Keys become unit vectors of character n-grams, weighted by rarity over all keys. The vectors are joined n-gram by n-gram
-   and the products summed; a pair of keys goes on if its cosine reaches `COSINE`, however many partners a key has. Keys are
-   short, so no n-gram of a key could be left out of the join without losing pairs.
-3. Each joined pair is compared part by part: equal, mistyped, short for, initial of. Different given names rule it out.
+2. Keys become unit vectors of character n-grams, weighted by rarity over all keys. A pair of keys goes on if its cosine
+   reaches `COSINE`, however many partners a key has. Keys are short, so no n-gram of a key could be left out without losing
+   pairs. Keys are dealt out over blocks; a task holds two of them and sums the products n-gram by n-gram in its own memory.
+3. The same task compares each such pair part by part: equal, mistyped, short for, initial of. Different given names rule it
+   out. Neither products nor pairs that score nothing, of which there are as many as keys squared, are ever written.
 4. Average linkage over these scores (absent pairs count 0), down to `LINK`. A merge needs a score of `LINK` or more, so
    no cluster leaves a connected component of these: components of up to `LOCAL` scores are each merged in one task, larger
    ones by rounds of mutual nearest clusters over tables, which give the same clusters, until a round merges none.
@@ -22,18 +23,23 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.llm.components import components
-from auditloom.session import cut, spread
+from auditloom.session import cut
 
 GRAM = 3
 COSINE = 0.25
 LINK = 0.45
 LOCAL = 200_000  # scores of a component that one task merges (some 20 MB)
-HOT = 2_000  # keys with an n-gram from which its pairs are split over several tasks
+HOT = 32_768  # keys of a block, of which a task holds two
+FEW = 256  # keys below which a block is not split, however many cores are idle
+PAIRS = 1 << 18  # pairs that a task sifts at once
+SLOTS = 3  # parts of a name that are sifted; longer names are always compared
 PARTNERS = 8  # parts beside which a given name stands at least
 
 # Accounts that many people use.
@@ -139,6 +145,18 @@ for _i, _line in enumerate(SHORT.split("\n")):
         FORMS.setdefault(_form, set()).add(_i)
 
 LINES = SHORT.split("\n")
+
+
+def _letters(part: str) -> int:
+    """The letters of a part as bits; two parts differ in at least as many letters as bits."""
+    bits = 0
+    for c in part:
+        bits |= 1 << ord(c) % 64
+    return bits
+
+
+FORM_LIST = [f for f in FORMS if len(f) >= 4]
+FORM_BITS, FORM_SIZES = np.array([_letters(f) for f in FORM_LIST], np.uint64), np.array([len(f) for f in FORM_LIST])
 FOLD = str.maketrans({"ø": "o", "Ø": "O", "æ": "ae", "Æ": "Ae", "œ": "oe", "ß": "ss", "ł": "l", "Ł": "L", "đ": "d", "ð": "d", "þ": "th", "ı": "i", "’": "'"})
 
 
@@ -210,7 +228,8 @@ def _forms(part: str) -> frozenset[int]:
     """The lines of the short forms that a part stands in, itself or, if it stands in none, with one slip."""
     if part in FORMS or len(part) < 4:
         return frozenset(FORMS.get(part, ()))
-    return frozenset(i for form, lines in FORMS.items() if len(form) >= 4 and distance(part, form, 1) == 1 for i in lines)
+    near = (np.bitwise_count(FORM_BITS ^ np.uint64(_letters(part))) <= 2) & (np.abs(FORM_SIZES - len(part)) <= 1)
+    return frozenset(i for at in np.flatnonzero(near).tolist() if distance(part, FORM_LIST[at], 1) == 1 for i in FORMS[FORM_LIST[at]])
 
 
 @lru_cache(100_000)
@@ -307,13 +326,95 @@ def vectors(nodes: DataFrame) -> DataFrame:
     return weighed.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("node")))).drop("w")
 
 
+def in_pairs(vectors: DataFrame, *columns: Column) -> DataFrame:
+    """A row for each node and pair of blocks (one <= two) that its own block is in, with its n-grams and weights."""
+    packed = cut(vectors.groupBy("node").agg(F.collect_list("gram").alias("grams"), F.collect_list("weight").alias("weights"), *columns))
+    n = packed.count()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(n / HOT), min(math.ceil(math.sqrt(2 * cores)), n // FEW))
+    own = packed.withColumn("block", F.pmod("node", F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    return own.select("*", other).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")}).drop("other")
+
+
+def _cosines(table: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, other row, cosine) of the pairs between two blocks, or within one, at or over the threshold; some `PAIRS` at a time."""
+    table = table.combine_chunks()
+    block, one, two = (table.column(c).to_numpy() for c in ("block", "one", "two"))
+    lists, weights = table.column("grams").combine_chunks(), table.column("weights").combine_chunks().flatten().to_numpy()
+    codes = lists.flatten().dictionary_encode().indices.to_numpy()
+    ends = np.cumsum(lists.value_lengths().to_numpy())
+    owner = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    mine = block[owner] == two[0]
+    order = np.flatnonzero(mine)[np.argsort(codes[mine], kind="stable")]
+    held, worth = owner[order], weights[order]
+    starts = np.searchsorted(codes[order], np.arange(codes.max(initial=-1) + 2)).tolist()
+    within = one[0] == two[0]
+    codes, weights, ends = codes.tolist(), weights.tolist(), ends.tolist()
+    sums = np.zeros(len(ends))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+    for x in np.flatnonzero(block == one[0]).tolist():
+        sums.fill(0)
+        for at in range(ends[x - 1] if x else 0, ends[x]):
+            first, last = starts[codes[at]], starts[codes[at] + 1]
+            sums[held[first:last]] += worth[first:last] * weights[at]  # a node has an n-gram once
+        if within:
+            sums[: x + 1] = 0
+        hits = np.flatnonzero(sums >= threshold)
+        if len(hits):
+            found.append((np.full(len(hits), x), hits, sums[hits]))
+            size += len(hits)
+        if size >= PAIRS:
+            yield tuple(map(np.concatenate, zip(*found)))
+            found, size = [], 0
+    if found:
+        yield tuple(map(np.concatenate, zip(*found)))
+
+
 def cosine_pairs(vectors: DataFrame, threshold: float = COSINE) -> DataFrame:
-    """(a, b, cosine) of each pair of nodes a < b at or over the threshold, exactly: the products of n-gram by n-gram, summed."""
-    split = F.ceil(F.col("count") / HOT).cast("int")  # the one side of a frequent n-gram is dealt out, the other goes to each share
-    a = vectors.select(F.col("node").alias("a"), "gram", F.col("weight").alias("wa"), F.pmod(F.xxhash64("node"), split).cast("int").alias("share"))
-    b = vectors.select(F.col("node").alias("b"), "gram", F.col("weight").alias("wb"), F.explode(F.sequence(F.lit(0), split - 1)).alias("share"))
-    products = a.join(b, ["gram", "share"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
-    return products.where(F.col("cosine") >= threshold)
+    """(a, b, cosine) of each pair of nodes a < b at or over the threshold, exactly."""
+
+    def joined(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_numpy()
+        parts = [(np.minimum(nodes[x], nodes[y]), np.maximum(nodes[x], nodes[y]), c) for x, y, c in _cosines(table, threshold)]
+        a, b, c = map(np.concatenate, zip(*parts)) if parts else ([], [], [])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "cosine": pa.array(c, pa.float64())})
+
+    return in_pairs(vectors).groupBy("one", "two").applyInArrow(joined, "a long, b long, cosine double")
+
+
+class _Sieve:
+    """Tells of pairs of names, many at once, which of them `score` can give more than nothing.
+
+    Of two names of several parts, all parts of one have to agree with parts of the other. A part without short forms, of
+    more than one letter, agrees with an initial or with what is two edits from it at most, which changes four letters at most.
+    """
+
+    def __init__(self, keys: list[str]):
+        n = len(keys)
+        self.bits, self.sizes = np.zeros((SLOTS, n), np.uint64), np.full((SLOTS, n), -9, np.int64)
+        self.hard = np.zeros((SLOTS, n), bool)
+        self.initial, self.open = np.zeros(n, bool), np.zeros(n, bool)
+        for row, name in enumerate(keys):
+            parts = name.split()
+            self.open[row] = not 2 <= len(parts) <= SLOTS
+            self.initial[row] = any(len(p) == 1 for p in parts)
+            for slot, part in enumerate(parts[:SLOTS]):
+                self.bits[slot, row], self.sizes[slot, row] = _letters(part), len(part)
+                self.hard[slot, row] = len(part) > 1 and not _forms(part)
+
+    def _agree(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        all_ = np.ones(len(x), bool)
+        for i in range(SLOTS):
+            some = ~self.hard[i, x] | self.initial[y]
+            for j in range(SLOTS):
+                some |= (np.bitwise_count(self.bits[i, x] ^ self.bits[j, y]) <= 4) & (np.abs(self.sizes[i, x] - self.sizes[j, y]) <= 2)
+            all_ &= some
+        return all_
+
+    def may(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return self.open[x] | self.open[y] | self._agree(x, y) | self._agree(y, x)
 
 
 def given_names(keys: DataFrame, partners: int = PARTNERS) -> DataFrame:
@@ -329,21 +430,28 @@ def given_names(keys: DataFrame, partners: int = PARTNERS) -> DataFrame:
     return counted.where((F.col("n") >= partners) & (F.col("begins") >= F.col("ends"))).select("part", F.lit(True).alias("given"))
 
 
-def scored(pairs: DataFrame, nodes: DataFrame, keys: DataFrame) -> DataFrame:
-    """(a, b, score) of the pairs whose names agree part by part."""
+def scored(vectors: DataFrame, nodes: DataFrame, keys: DataFrame, threshold: float = COSINE) -> DataFrame:
+    """(a, b, score) of the pairs a < b at or over the cosine whose names agree part by part."""
     part = nodes.select("node", F.explode(F.split("key", " ")).alias("part"))
     known = part.join(given_names(keys), "part").groupBy("node").agg(F.collect_set("part").alias("known"))
-    named = nodes.select("node", "key").join(known, "node", "left")
-    side = lambda x: named.select(F.col("node").alias(x), F.col("key").alias(f"key_{x}"), F.col("known").alias(f"known_{x}"))
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            values = [score(a, b, {*(() if k is None else k), *(() if m is None else m)}) for a, b, k, m in zip(rows.key_a, rows.key_b, rows.known_a, rows.known_b)]
-            out = rows[["a", "b"]].assign(score=values)
-            yield out[out.score > 0]
-
-    both = cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "key_a", "key_b", "known_a", "known_b"))
-    return spread(both).mapInPandas(judge, "a long, b long, score double")
+    named = vectors.join(nodes.select("node", "key"), "node").join(known, "node", "left")
+
+    def judge(table: pa.Table) -> pa.Table:
+        nodes, names = table.column("node").to_pylist(), table.column("key").to_pylist()
+        known = [frozenset(k or ()) for k in table.column("known").to_pylist()]
+        sieve = _Sieve(names)
+        found = []
+        for x, y, _ in _cosines(table, threshold):
+            may = sieve.may(x, y)
+            for i, j in zip(x[may].tolist(), y[may].tolist()):
+                a, b = (i, j) if nodes[i] < nodes[j] else (j, i)
+                if (worth := score(names[a], names[b], known[a] | known[b])) > 0:
+                    found.append((nodes[a], nodes[b], worth))
+        a, b, worth = zip(*found) if found else ((), (), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "score": pa.array(worth, pa.float64())})
+
+    both = in_pairs(named, F.first("key").alias("key"), F.first("known").alias("known"))
+    return both.groupBy("one", "two").applyInArrow(judge, "a long, b long, score double")
 
 
 def merge(edges: list[tuple[int, int, float]], least: float = LINK) -> dict[int, int]:
@@ -428,8 +536,7 @@ def entities(df: DataFrame, name: str) -> DataFrame:
     """(spelling, entity): each distinct spelling that counts and the entity it denotes."""
     keys, found = nodes(df, name)
     found = cut(found)
-    pairs = scored(cosine_pairs(cut(vectors(found))), found, keys)
-    clusters = average_linkage(pairs)
+    clusters = average_linkage(scored(vectors(found), found, keys))
     known = found.select("node", "key").join(clusters, "node", "left").select("key", F.coalesce("cluster", "node").alias("entity"))
     return keys.join(known, "key").select("spelling", "entity")
 

@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+
 from auditloom.llm import names
 from tests.conftest import rows
 
@@ -102,3 +104,35 @@ def test_distance_and_score():
     assert [names.distance(a, b) for a, b in (("ab", "ba"), ("abc", "abc"), ("abc", "abd"), ("abc", "xyz"), ("a", "abcd"))] == [1, 0, 1, 3, 3]
     assert names.score("alexander smithers", "andrew smithers", {"alexander", "andrew"}) == 0
     assert names.score("asmithers", "andrew smithers", set()) > 0.5
+
+
+def test_pairs_are_not_written(spark):
+    """Of 900 keys with a given name in common every two have a cosine: 404,550 pairs, none of which may reach the disk."""
+    rng = random.Random(5)
+    people = ["Wilhelmina " + "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)).title() for _ in range(900)]
+    df = spark.createDataFrame([(p,) for p in people], "author string")
+
+    def written():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() + stages.apply(i).outputRecords() for i in range(stages.size()))
+
+    before = written()
+    assert names.entities(df, "author").count() == len(set(people))
+    assert written() - before < 150_000
+
+
+def test_sieve_keeps_what_scores(spark, monkeypatch):
+    rng = random.Random(9)
+    given = ["robert", "bob", "r", "ingrid", "inga", "ingird", "kenji", "jo", "j", "li"]
+    family = ["lunirihukul", "lunirihukl", "lunirhiukul", "gepomesiros", "gepomesirso", "smithers", "smiters", "ng", "systems", "system"]
+    keys = sorted({" ".join(sorted(rng.choice(x) for x in rng.choice([(given, family), (given, given, family), (family,), (given, family, family, given)]))) for _ in range(160)} | {"rlunirihukul", "smithersingrid"})
+    known = {"robert", "ingrid", "kenji"}
+    sieve, n = names._Sieve(keys), len(keys)
+    x, y = np.repeat(np.arange(n), n), np.tile(np.arange(n), n)
+    kept = sieve.may(x, y)
+    scored = np.array([names.score(keys[i], keys[j], known) > 0 for i, j in zip(x, y)])
+    assert scored.any() and not (scored & ~kept).any() and not kept.all()
+    df = spark.createDataFrame([(k,) for k in keys], "author string")
+    whole = rows(names.entities(df, "author"))
+    monkeypatch.setattr(names, "HOT", 7)
+    assert rows(names.entities(df, "author")) == whole
