@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.session import cut
+from auditloom.session import cut, unsized
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,6 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
         lower = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("component").alias("root"))
         moved = cut(lower.join(jump, "new", "left").select("node", F.least("new", F.coalesce("root", "new")).alias("component"), (F.col("component") > F.least("new", F.coalesce("root", "new"))).alias("moved")))
+        moved = unsized(moved)
         labels = moved.select("node", "component")
         if moved.where("moved").isEmpty():
             return labels

@@ -12,9 +12,12 @@ A family of one decides for itself. Copies of packages have the shapes of any co
 they are known by a place or a licence of a package in a comment line, or as one text in several repositories.
 
 Similarity is that of the whole sets, each shingle by 36 bits of its hash. Within a bucket only pairs that are linked already,
-directly or through others, and pairs of sizes that rule 0.8 out are left uncompared, as neither can change a family. Buckets
-of more than `BLOCK` classes are compared block by block, so that a task holds two blocks. What no bucket brings together
-(a pair at 0.8 with a chance of one in seventy) is not compared.
+directly or through others, and pairs that cannot reach 0.8 are left uncompared, as neither can change a family. Sets are not
+copied to all their buckets: each class is first compared in one of them, which links most of a family. For the other buckets
+sketches of a set (the parity of its shingles in some bits) tell which classes can still be alike, as sets differ in at least as
+many shingles as their sketches in bits; only these meet by their whole sets, those most alike first. Large buckets are compared
+block by block, so that a task holds two blocks. What no bucket brings together (a pair at 0.8 with a chance of one in seventy)
+is not compared.
 
 Null contents and empty files are written by hand for want of evidence. Files are read whole. Repeated rows do no harm.
 """
@@ -32,12 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.components import components
-from auditloom.session import cut, spread
+from auditloom.session import cut, released, spread
 
 SHINGLE = 5
 SIMILAR = 0.8
 WIDTH = 36  # bits a shingle
-BLOCK = 2048  # classes of a bucket that are held at once, twice
+BLOCK = 2048  # classes of a bucket whose sets are held at once, twice
+SHEET = 32  # blocks of a bucket whose sketches are held at once, twice
+BITS = 2  # least bits of a sketch a shingle
 BANDS, ROWS = 8, 4
 PREVAIL = 0.3  # share of a family with a generator's marks from which all of it is generated
 MOST = 0.5  # share of a family that looks like data, or minified, from which all of it is
@@ -222,13 +227,13 @@ def _bits(sets: list[bytes]) -> np.ndarray:
     return out
 
 
-def _links(table: pa.Table) -> pa.Table:
-    """(a, b): links of a bucket's block with itself or another, as many as join all that is alike."""
-    ids = table.column("class").to_numpy()
+def _joined(table: pa.Table) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Links between labels in a bucket's block or between two, as many as join all that is alike; a number of what is joined, by row."""
+    names = table.column("label").to_numpy()
     block, one, two = (table.column(c).to_numpy() for c in ("block", "one", "two"))
     sets = table.column("set").to_pylist()
     bits, sizes = _bits(sets), np.array([count(x) for x in sets])
-    label = np.arange(len(ids))
+    label = np.unique(names, return_inverse=True)[1]
     found: list[tuple[int, int]] = []
     across = one[0] != two[0]
     for x in np.flatnonzero(block == one[0]):
@@ -244,22 +249,137 @@ def _links(table: pa.Table) -> pa.Table:
         alike = others[common / (sizes[others] + sizes[x] - common) >= SIMILAR]
         if len(alike):
             labels, at = np.unique(label[alike], return_index=True)
-            found += [(int(ids[x]), int(ids[y])) for y in alike[at]]
+            found += [(int(names[x]), int(names[y])) for y in alike[at]]
             label[np.isin(label, labels)] = label[x]
+    return found, label
+
+
+def _links(table: pa.Table) -> pa.Table:
+    """(a, b): the links of `_joined`."""
+    found, _ = _joined(table)
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
+def sketch(packed: bytes) -> bytes:
+    """The parity of a set's shingles in so many bits that there are `BITS` a shingle or more, a power of two."""
+    width = 1 << max(6, (BITS * count(packed) - 1).bit_length())
+    at = (unpack(packed) * MIX >> np.uint64(32) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(bool)).tobytes()
+
+
+def _at_home(table: pa.Table) -> pa.Table:
+    """(class, size, sketch, label) of each class of a group; classes that are joined have the least of them as label."""
+    names, sets = table.column("class").to_numpy(), table.column("set").to_pylist()
+    _, numbers, at = np.unique(_joined(table)[1], return_index=True, return_inverse=True)
+    least = np.full(len(numbers), np.iinfo(np.int64).max)
+    np.minimum.at(least, at, names)
+    return pa.table({"class": pa.array(names), "size": pa.array([count(x) for x in sets], pa.int64()), "sketch": pa.array([sketch(x) for x in sets], pa.binary()), "label": pa.array(least[at])})
+
+
+def _near(table: pa.Table, best: bool) -> np.ndarray:
+    """Of a bucket's block or two: the classes that can be alike one with another label; at `best`, only the likeliest of each two labels."""
+    sizes, block, one, two = (table.column(c).to_numpy() for c in ("size", "block", "one", "two"))
+    label = np.unique(table.column("label").to_numpy(), return_inverse=True)[1]
+    sketches = table.column("sketch").to_pylist()
+    widths = np.array([8 * len(x) for x in sketches])
+    most = np.bincount(label).argmax()
+    rest = label != most  # of every two labels one is not the most frequent
+    near = np.zeros(len(label), bool)
+    for width in np.unique(widths).tolist():
+        at = np.flatnonzero((widths == width) | (widths == 2 * width))  # sizes that can be alike differ by a quarter at most
+        own = widths[at] == width
+        bits = np.empty((len(at), width // 64), np.uint64)
+        for row, x in enumerate(at.tolist()):
+            words = np.frombuffer(sketches[x], np.uint64)
+            bits[row] = words if own[row] else words[: width // 64] ^ words[width // 64 :]
+        size, side = sizes[at], block[at]
+        for row in np.flatnonzero(rest[at]).tolist():
+            x = at[row]
+            open_ = (label[at] != label[x]) & (np.minimum(size, size[row]) >= SIMILAR * np.maximum(size, size[row]))
+            if not own[row]:
+                open_ &= own
+            if one[0] != two[0]:
+                open_ &= side != side[row]
+            others = np.flatnonzero(open_)
+            if not len(others):
+                continue
+            differ = np.bitwise_count(bits[others] ^ bits[row]).sum(axis=1, dtype=np.int64)
+            both = size[others] + size[row]
+            can = differ * (1 + SIMILAR) <= both * (1 - SIMILAR) + 1e-6
+            if not can.any():
+                continue
+            near[x] = True
+            others = others[can][np.argsort((differ / both)[can], kind="stable")]
+            if best:
+                labels, first = np.unique(label[at[others]], return_index=True)
+                near[at[others[first]]] = True
+                label[np.isin(label, labels)] = label[x]
+            else:
+                near[at[others]] = True
+    return near
+
+
+def _dealt(places: DataFrame, block: int) -> DataFrame:
+    """(class, places) of (class, band, n): the pairs of blocks (one <= two) of each bucket that a class is in."""
+    blocks = places.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    pair = lambda i: F.struct(F.col("band"), F.col("block"), F.least("block", i).alias("one"), F.greatest("block", i).alias("two"))
+    pairs = blocks.withColumn("block", own).select("class", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("p"))
+    return pairs.groupBy("class").agg(F.collect_list("p").alias("places"))
+
+
+def _homes(classes: DataFrame, full: DataFrame, block: int) -> DataFrame:
+    """What `_at_home` tells of each class in one of its buckets, the largest that needs no blocks, else the largest of all."""
+    home = full.groupBy("class").agg(F.max(F.struct(F.col("n") <= block, "n", "band")).alias("h"))
+    blocks = F.ceil(F.col("h.n") / block).cast("int")
+    home = home.select("class", "h.band", F.pmod(F.xxhash64("class"), blocks).cast("int").alias("block"))
+    members = classes.select("class", "set").join(home, "class").withColumns({"label": F.col("class"), "one": F.col("block"), "two": F.col("block")})
+    return cut(members.groupBy("band", "one", "two").applyInArrow(_at_home, "class long, size long, sketch binary, label long"))
+
+
+def _meant(full: DataFrame, sketches: DataFrame, labels: DataFrame, best: bool, sheet: int) -> DataFrame:
+    """(class, band) of the classes that `_near` finds in the buckets that hold several labels."""
+    labelled = full.join(labels, "class")
+    several = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
+    members = sketches.join(labels, "class").join(_dealt(full.join(several, "band", "left_semi"), sheet), "class")
+
+    def near(table: pa.Table) -> pa.Table:
+        found = _near(table, best)
+        return table.select(["class", "band"]).filter(pa.array(found))
+
+    return cut(members.select("class", "label", "size", "sketch", F.inline("places")).groupBy("band", "one", "two").applyInArrow(near, "class long, band long").distinct())
+
+
+def _compared(classes: DataFrame, places: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """(a, b): links between the labels of classes that meet in the places (class, band), by their whole sets."""
+    counted = places.join(places.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band")
+    members = classes.select("class", "set").join(_dealt(counted, block).join(labels, "class"), "class").select("class", "label", "set", F.inline("places"))
+    return cut(members.groupBy("band", "one", "two").applyInArrow(_links, "a long, b long").distinct())
+
+
 def families(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     """(class, family) of every class that is linked to another."""
+    spark = classes.sparkSession
     banded = classes.select("class", F.explode("bands").alias("band")).distinct()
-    full = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    pair = lambda i: F.struct(F.col("band"), F.col("block"), F.least("block", i).alias("one"), F.greatest("block", i).alias("two"))
-    places = banded.join(full, "band").withColumn("block", own).select("class", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair)).alias("p"))
-    kept = places.groupBy("class").agg(F.collect_list("p").alias("places"))
-    members = classes.select("class", "set").join(kept, "class").select("class", "set", F.inline("places"))
-    linked = members.groupBy("band", "one", "two").applyInArrow(_links, "a long, b long").distinct()
-    return components(linked).select(F.col("node").alias("class"), F.col("component").alias("family"))
+    full = cut(banded.join(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "band"))
+    homes = _homes(classes, full, block)
+    sketches, labels = homes.drop("label"), homes.select("class", "label")
+    for best in (True, False):
+        released(spark)
+        places = _meant(full, sketches, labels, best, SHEET * block)
+        released(spark)
+        links = _compared(classes, places, labels, block)
+        if not links.isEmpty():
+            labels = cut(_relabelled(labels, links))
+    released(spark)
+    linked = labels.groupBy("label").agg(F.count("*").alias("n")).where("n > 1").select("label")
+    return labels.join(linked, "label").select("class", F.col("label").alias("family"))
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (class, label) after links (a, b) between them: the least of all that are joined."""
+    found = components(links).withColumnRenamed("node", "label")
+    return labels.join(found, "label", "left").select("class", F.coalesce("component", "label").alias("label"))
 
 
 def decided(files: DataFrame, found: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """A kept table without Spark's guess of its size, which is a product at each join: over rounds its digits double each time."""
+    plan = df._jdf.queryExecution()
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(plan.toRdd(), df._jdf.schema(), False), df.sparkSession)
+
+
+def released(spark: SparkSession) -> None:
+    """Frees the disk of shuffles and checkpoints that nothing refers to: Spark does so only when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan, dealt out over the cores where its files give fewer partitions than these; large inputs stay as they are.
 

@@ -194,3 +194,34 @@ def test_links_against_brute_force():
             pairs += 1
             met += bool(set(a[6]) & set(b[6]))
     assert pairs > 200 and met / pairs > 0.97
+
+
+def test_sets_do_not_go_to_every_block(spark, monkeypatch):
+    """400 sets of one family in eight buckets, 50 blocks each: a copy of each set for each would be 160,000 rows."""
+    monkeypatch.setattr(origin, "SHEET", 1 << 10, raising=False)
+    rng = random.Random(2)
+    sets = [set(range(200)) | set(rng.sample(range(200, 10_000), 5)) for _ in range(400)]
+    df = sets_of(spark, sets, [list(range(8))] * 400)
+
+    def written():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() + stages.apply(i).outputRecords() for i in range(stages.size()))
+
+    before = written()
+    assert {r.family for r in origin.families(df, 8).collect()} == {0}
+    assert written() - before < 100_000
+
+
+def test_sketches_lose_no_link(spark, monkeypatch):
+    rng = random.Random(21)
+    sets, bands = [], []
+    for _ in range(50):
+        base = set(rng.sample(range(1 << origin.WIDTH), rng.randint(5, 140)))
+        for _ in range(rng.randint(1, 5)):
+            gone = set(rng.sample(sorted(base), rng.randint(0, len(base) // 6)))
+            sets.append((base - gone) | set(rng.sample(range(1 << origin.WIDTH), rng.randint(0, 4))))
+            bands.append(rng.sample(range(6), 3))
+    for block, sheet in ((2048, 32), (7, 2)):
+        monkeypatch.setattr(origin, "SHEET", sheet)
+        found = origin.families(sets_of(spark, sets, bands), block).collect()
+        assert {r["class"]: r.family for r in found} == joined(sets, bands)
