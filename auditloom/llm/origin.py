@@ -19,6 +19,9 @@ many shingles as their sketches in bits; only these meet by their whole sets, th
 block by block, so that a task holds two blocks. What no bucket brings together (a pair at 0.8 with a chance of one in seventy)
 is not compared.
 
+Texts are taken apart many at once, as numbers; one by one only where letters beyond ASCII stay outside strings and comments, a
+number touches a dollar sign, or a text holds the two signs that stand for strings there. Both ways give the same.
+
 Null contents and empty files are written by hand for want of evidence. Files are read whole. Repeated rows do no harm.
 """
 
@@ -68,15 +71,30 @@ NOTE = re.compile(
     r"|(?<=[=(,:!&|?{};])[ \t]*/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/|[ \t](?://|#)[ \t].*$",
     re.M,
 )
-COMMENT = re.compile(r"/\*[\s\S]*?\*/|^[ \t]*(?://|#(?!include)).*$|[ \t]//[ \t].*$", re.M)
-TOKEN = re.compile(r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|[A-Za-z_$][\w$]*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|[^\s\w]|[^\W\d_]+")
+# Comments, by the signs that a text holds (block, two slashes, number sign), and what stays of them: a line end before a whole line.
+COMMENTS = {
+    (block, line, sign): (
+        re.compile("|".join([r"(\n)[ \t]*(?:" + "|".join(["//"] * line + ["#(?!include)"] * sign) + ").*"] * (line or sign) + [r"/\*[\s\S]*?\*/"] * block + [r"[ \t]//[ \t].*"] * line)),
+        r"\1" if line or sign else "",
+    )
+    for block in (False, True)
+    for line in (False, True)
+    for sign in (False, True)
+    if block or line or sign
+}
+STRING = r"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`"
+STRINGS = re.compile(STRING)
+TOKEN = re.compile(r"[A-Za-z_$][\w$]*|[^\s\w$\"'`]|\d[\w.]*|" + STRING + r"|[\"'`]|[^\W\d_]+")
+CUT_NUMBER = re.compile(r"(?<![\w.])[A-Za-z_.]*+\d[\w.]*+\$")
+PAGE = 1 << 20  # letters of texts that are taken apart at once
 WORDS = frozenset(
     "def class return if elif else for while in import from const let var function async await try except finally public private protected static final void int long string bool boolean func type struct interface package switch case default break continue new this self throw throws raise with as lambda yield map range chan select go defer extends implements export enum true false null None True False".split()
 )
 _random = np.random.default_rng(20240229)
 FACTORS = _random.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
-POWERS = np.array([pow(1_000_003, SHINGLE - 1 - i, 2**64) for i in range(SHINGLE)], np.uint64)
+FACTOR = np.uint64(1_000_003)
+LONG, PROSE = ('"""', "'''"), "§"
 
 
 class _Mask(dict):
@@ -99,60 +117,202 @@ class _Mask(dict):
         return code
 
 
+# The ASCII letters as `TOKEN` sees them, with 1 for a string and 2 for one of prose, and the words as their first and last eight bytes.
+_ascii = [chr(i) for i in range(128)]
+IS_SPACE = np.array([c.isspace() for c in _ascii])
+IS_WORD = np.array([c.isalnum() or c in "_$" for c in _ascii])
+IS_DIGIT = np.array([c.isdigit() for c in _ascii])
+CODES = np.array([3 if c == "\1" else _Mask()[PROSE if c == "\2" else c] for c in _ascii], np.uint64)
+HEADS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_words = sorted(WORDS, key=lambda w: int.from_bytes(w[:8].encode(), "little"))
+KEYS = np.array([int.from_bytes(w[:8].encode(), "little") for w in _words], np.uint64)
+KEY_ENDS = np.array([int.from_bytes(w[-8:].encode(), "little") for w in _words], np.uint64)
+KEY_SIZES = np.array([len(w) for w in _words])
+KEY_CODES = np.array([_Mask()[w] for w in _words], np.uint64)
+
+
 def notes(text: str) -> str:
     """The comment lines of a whole text."""
     return "\n".join(m["note"] or m["doc"].split("\n")[0] for m in NOTE.finditer(text) if m.lastgroup)
 
 
+def without_comments(text: str) -> str:
+    held = "/*" in text, "//" in text, "#" in text
+    if not any(held):
+        return text
+    pattern, kept = COMMENTS[held]
+    return pattern.sub(kept, "\n" + text)[1:]
+
+
+def _long(token: str) -> bool:
+    return len(token) > 5 and token[:3] in LONG
+
+
+def _dense(token: str) -> list[str]:
+    """The lines of a long string that hold data."""
+    return [line for line in token[3:-3].split("\n") if len(line) >= DENSE and " " not in line.strip()]
+
+
 def tokens_of(body: str) -> tuple[list[str], int]:
     """(tokens, letters of data in long strings); a long string is one token of text, or a literal for each of its lines that hold data."""
     tokens, letters = TOKEN.findall(body), 0
     if '"""' in body or "'''" in body:
-        for at in reversed([i for i, t in enumerate(tokens) if len(t) > 5 and t[:3] in ('"""', "'''")]):
-            dense = [line for line in tokens[at][3:-3].split("\n") if len(line) >= DENSE and " " not in line.strip()]
+        for at in reversed([i for i, t in enumerate(tokens) if _long(t)]):
+            dense = _dense(tokens[at])
             letters += sum(map(len, dense))
-            tokens[at : at + 1] = ['""'] * len(dense) or ["§"]
+            tokens[at : at + 1] = ['""'] * len(dense) or [PROSE]
     return tokens, letters
 
 
 # What stands in every text that a mark or a licence can be found in; all others need no search for comments.
 HINTED = "generated created machine erzeugt generiert automatisch gerado generado сгенерирован copyright (c) redistribution @license".split() + ["do not modify by hand", "produced by the", "this is a copy of", "permission is", "released under the"] + [f"g{x}n{y}r{z}" for x in "eé" for y in "eé" for z in "eé"]
+PLAIN_HINTS = [w for w in HINTED if w.isascii()]
 HEAD = re.compile(r"(?i)!\s*\w[\w-]* v?\d+\.\d+\.\d+")
 
 
 def hinted(text: str) -> bool:
     low = text.lower()
-    return any(w in low for w in HINTED) or "!" in text and bool(HEAD.search(text))
+    return any(w in low for w in (PLAIN_HINTS if text.isascii() else HINTED)) or "!" in text and bool(HEAD.search(text))
+
+
+def _seen(text: str, path: str) -> tuple[bool, bool]:
+    """(generated, vendored): what a file's comments and its path say."""
+    said = notes(text) if hinted(text) else ""
+    return bool(NAMES.search(path)) or bool(GENERATED.search(said)), bool(PLACES.search(path)) or bool(LICENCES.search(said))
+
+
+def _looks(body: str, n: int, numbers: int, strings: int, letters: int, names: int, spelt: int) -> tuple[bool, bool]:
+    """(data, minified) of a text of n tokens: numbers, strings and the letters of these, names and the letters of these."""
+    data = bool(n) and (n >= 20 and (numbers + strings) / n >= 0.35 or len(body) >= 400 and letters / len(body) >= 0.7)
+    minified = not data and n >= 50 and sum(map(body.count, " \t\n")) / len(body) < 0.08 and names > 0 and spelt / names < 3
+    return data, minified
+
+
+def _rolled(codes: np.ndarray) -> np.ndarray:
+    """A number below 2^63 of each `SHINGLE` codes in a row."""
+    n = max(0, len(codes) - SHINGLE + 1)
+    rolled = codes[:n] * FACTOR
+    for i in range(1, SHINGLE):
+        rolled += codes[i : n + i]
+        if i < SHINGLE - 1:
+            rolled *= FACTOR
+    return (rolled ^ (rolled >> np.uint64(29))) * MIX >> np.uint64(1)  # below 2^63, so the JVM sorts them alike
+
+
+def _class(shingles: np.ndarray) -> tuple:
+    """(class, set, bands) of the shingles of a file."""
+    if not len(shingles):
+        return None, b"", []
+    mixed = np.sort(shingles)
+    distinct = mixed[np.concatenate([[True], mixed[1:] != mixed[:-1]])]
+    least = (np.multiply.outer(FACTORS, distinct).min(axis=1) >> np.uint64(11)).reshape(BANDS, ROWS)
+    bands = (least * FACTORS[:ROWS]).sum(axis=1) ^ (np.arange(BANDS, dtype=np.uint64) * MIX)
+    packed = pack(distinct >> np.uint64(63 - WIDTH))
+    return _id(packed, 8), packed, bands.view(np.int64).tolist()
 
 
 def measure(text: str, path: str, mask: _Mask) -> tuple:
     """(generated, vendored, data, minified: what is seen; class, set, bands) of a file."""
-    said = notes(text) if hinted(text) else ""
-    generated = bool(NAMES.search(path)) or bool(GENERATED.search(said))
-    vendored = bool(PLACES.search(path)) or bool(LICENCES.search(said))
-    body = COMMENT.sub("", text)
+    body = without_comments(text)
     tokens, letters = tokens_of(body)
     n = len(tokens)
     codes = np.fromiter(map(mask.__getitem__, tokens), np.uint64, n)
-    data = minified = False
-    if n:
-        strings = np.flatnonzero(codes == 3)
-        literal = (np.count_nonzero(codes == 2) + len(strings)) / n
-        letters += sum([len(tokens[i]) for i in strings.tolist()])
-        data = n >= 20 and literal >= 0.35 or len(body) >= 400 and letters / len(body) >= 0.7
-        if not data and n >= 50 and sum(map(body.count, " \t\n")) / len(body) < 0.08:
-            names = [len(t) for t in tokens if (t[0].isalpha() or t[0] in "_$") and t not in WORDS]
-            minified = bool(names) and sum(names) / len(names) < 3
-    if n < SHINGLE:
-        return generated, vendored, data, minified, None, b"", []
-    with np.errstate(over="ignore"):
-        rolled = sum((codes[i : n - SHINGLE + 1 + i] * POWERS[i] for i in range(SHINGLE)), np.zeros(n - SHINGLE + 1, np.uint64))
-        mixed = np.sort((rolled ^ (rolled >> np.uint64(29))) * MIX >> np.uint64(1))  # below 2^63, so the JVM sorts them alike
-        distinct = mixed[np.concatenate([[True], mixed[1:] != mixed[:-1]])]
-        least = (distinct[:, None] * FACTORS[None, :] >> np.uint64(11)).min(axis=0).reshape(BANDS, ROWS)
-        bands = (least * FACTORS[:ROWS]).sum(axis=1) ^ (np.arange(BANDS, dtype=np.uint64) * MIX)
-    packed = pack(distinct >> np.uint64(63 - WIDTH))
-    return generated, vendored, data, minified, _id(packed, 8), packed, bands.view(np.int64).tolist()
+    strings = np.flatnonzero(codes == 3).tolist()
+    names = np.flatnonzero(codes == 1).tolist()
+    letters += sum([len(tokens[i]) for i in strings])
+    looks = _looks(body, n, np.count_nonzero(codes == 2), len(strings), letters, len(names), sum([len(tokens[i]) for i in names]))
+    return *_seen(text, path), *looks, *_class(_rolled(codes))
+
+
+def _shortened(body: str) -> tuple[str, int] | None:
+    """(a text with a sign for each token that is a string, letters of these); None where a text is not of the letters that `_page` knows."""
+    if "\1" in body or "\2" in body:
+        return None
+    letters = 0
+    if '"""' in body or "'''" in body:
+
+        def sign(m: re.Match) -> str:
+            nonlocal letters
+            token = m[0]
+            if not _long(token):
+                letters += len(token)
+                return "\1"
+            dense = _dense(token)
+            letters += sum(map(len, dense)) + 2 * len(dense)
+            return "\1" * len(dense) or "\2"
+
+        short = STRINGS.sub(sign, body)
+    else:
+        short, strings = STRINGS.subn("\1", body)
+        letters = len(body) - len(short) + strings
+    return None if not short.isascii() or "$" in short and CUT_NUMBER.search(short) else (short, letters)
+
+
+def _page(texts: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """((tokens, numbers, strings, names, letters of names), shingles) of each shortened text, the tokens those of `TOKEN`, all texts at once."""
+    page = np.frombuffer("\n".join([*texts, " " * 16]).encode(), np.uint8)
+    word = IS_WORD[page]
+    inner = word.copy()
+    inner[1:] &= word[:-1]
+    inner[0] = False
+    at = np.flatnonzero(~(inner | IS_SPACE[page]))
+    first = page[at]
+    named = word[at]
+    size = np.ones(len(at), np.int64)
+    size[named] = np.flatnonzero(word[:-1] & ~word[1:]) + 1 - at[named]
+    number = IS_DIGIT[first]
+    # a number goes on over dots and names, as far as these touch
+    piece = named | (first == ord("."))
+    begins = np.ones(len(at), bool)
+    begins[1:] = ~(piece[1:] & piece[:-1] & (at[1:] == at[:-1] + size[:-1]))
+    order = np.arange(len(at))
+    latest = np.maximum.accumulate(np.where(number, order, -1))
+    start = np.maximum.accumulate(np.where(begins, order, 0))
+    kept = np.ones(len(at), bool)
+    kept[1:] = latest[:-1] < start[1:]
+    at, first, size, named, number = at[kept], first[kept], size[kept], named[kept], number[kept]
+    codes = CODES[first]
+    could = np.flatnonzero(named & ~number & (size >= KEY_SIZES.min()) & (size <= KEY_SIZES.max()))
+    begin = page[at[could][:, None] + np.arange(8)].view(np.uint64).ravel() & HEADS[np.minimum(size[could], 8)]
+    key = np.minimum(np.searchsorted(KEYS, begin), len(KEYS) - 1)
+    same = np.flatnonzero((KEYS[key] == begin) & (KEY_SIZES[key] == size[could]))
+    could, key = could[same], key[same]
+    end = page[(at[could] + np.maximum(size[could], 8) - 8)[:, None] + np.arange(8)].view(np.uint64).ravel()
+    same = (size[could] <= 8) | (KEY_ENDS[key] == end)
+    codes[could[same]] = KEY_CODES[key[same]]
+    shingles = _rolled(codes)
+    ends = np.cumsum([len(x) + 1 for x in texts])
+    bounds = np.concatenate([[0], np.searchsorted(at, ends)])
+    total = lambda values: np.diff(np.concatenate([[0], np.cumsum(values)])[bounds]).tolist()
+    names = codes == 1
+    for i, counts in enumerate(zip(np.diff(bounds).tolist(), total(codes == 2), total(codes == 3), total(names), total(np.where(names, size, 0)))):
+        yield counts, shingles[bounds[i] : max(bounds[i], bounds[i + 1] - SHINGLE + 1)]
+
+
+def measure_all(files: list[tuple[str, str]], mask: _Mask) -> list[tuple]:
+    """`measure` of each (text, path), by numbers over many texts at once; one by one are only texts that `_shortened` leaves."""
+    out: list = [None] * len(files)
+    waiting, letters = [], 0
+
+    def done() -> None:
+        for (i, body, (_, long)), ((n, numbers, strings, names, spelt), shingles) in zip(waiting, _page([w[2][0] for w in waiting])):
+            text, path = files[i]
+            out[i] = *_seen(text, path), *_looks(body, n, numbers, strings, long, names, spelt), *_class(shingles)
+        waiting.clear()
+
+    for i, (text, path) in enumerate(files):
+        body = without_comments(text)
+        short = _shortened(body)
+        if short is None:
+            out[i] = measure(text, path, mask)
+            continue
+        waiting.append((i, body, short))
+        letters += len(short[0])
+        if letters >= PAGE:
+            done()
+            letters = 0
+    done()
+    return out
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -199,9 +359,9 @@ def measured(source_files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = _Mask()
         for batch in batches:
-            rows = []
-            for repo, path, text in zip(*(batch.column(c).to_pylist() for c in ("repo", "file_path", "content"))):
-                rows.append((repo, path, _id(text.encode("utf-8", "surrogatepass"), 16), *measure(text, path or "", mask)))
+            repos, paths, texts = (batch.column(c).to_pylist() for c in ("repo", "file_path", "content"))
+            seen = measure_all([(text, path or "") for path, text in zip(paths, texts)], mask)
+            rows = [(repo, path, _id(text.encode("utf-8", "surrogatepass"), 16), *s) for repo, path, text, s in zip(repos, paths, texts, seen)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(types), types)], names)
 
     return spread(source_files.where("content is not null").select("repo", "file_path", "content")).mapInArrow(run, schema)

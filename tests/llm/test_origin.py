@@ -1,6 +1,7 @@
 """Origins: marks, families, places, data and minified code; components against a plain union; edge rows."""
 
 import random
+import re
 
 import numpy as np
 
@@ -225,3 +226,27 @@ def test_sketches_lose_no_link(spark, monkeypatch):
         monkeypatch.setattr(origin, "SHEET", sheet)
         found = origin.families(sets_of(spark, sets, bands), block).collect()
         assert {r["class"]: r.family for r in found} == joined(sets, bands)
+
+
+def test_many_texts_at_once(monkeypatch):
+    """The pass over many texts gives what each text gives alone, and ordinary texts are not taken apart alone."""
+    rng = random.Random(31)
+    bits = list("\"'`\\_$.();=\t\r\n\n   ") + ["\"\"\"", "'''", "a", "b$2", "1", "1.5", "0x1F.e", "..", "if", "implements", "implementx", "protectex", "return", "Interface", "/*", "*/", "//", "#", "#include", "A" * 20, "\x1c", "q" * 20 + "\n"]
+    odd = ["é", "½", "٣", "§", "\1", "\2", "\x85", "\xa0", "\0", "😀"]
+    texts = ["", " ", "a", "1$a.2", "a.1.b$c", "\"" * 7] + ["".join(rng.choices(bits + odd * (i % 3 == 0), k=rng.randint(0, 60))) for i in range(3000)]
+    texts += [hand(rng) for _ in range(20)] + [generated(rng) * 40 for _ in range(5)]
+    files = [(t, "src/a.py") for t in texts]
+    alone = [origin.measure(*f, origin._Mask()) for f in files]
+    for page in (1, 300, 1 << 20):
+        monkeypatch.setattr(origin, "PAGE", page)
+        assert origin.measure_all(files, origin._Mask()) == alone
+    monkeypatch.setattr(origin, "measure", None)
+    assert origin.measure_all(files[-25:], origin._Mask()) == alone[-25:] and origin.measure_all([], origin._Mask()) == []
+
+
+def test_comments_by_their_signs():
+    rng = random.Random(32)
+    one = re.compile(r"/\*[\s\S]*?\*/|^[ \t]*(?://|#(?!include)).*$|[ \t]//[ \t].*$", re.M)
+    for _ in range(5000):
+        text = "".join(rng.choices(["/*", "*/", "//", "#", "#include", "\n", "\n", " ", "\t", "a", "\r", "/", "*"], k=rng.randint(0, 14)))
+        assert origin.without_comments(text) == one.sub("", text)
